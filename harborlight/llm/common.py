@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch sent to Python; a batch of long texts is cut by its bytes.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 _local: list[str] = []
 
 
