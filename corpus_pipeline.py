@@ -1,7 +1,56 @@
-"""Corpus pipeline: stages over documents."""
-STAGES = []
+"""From documents to token ids: the stages of a training corpus, each over all that the one before it kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from harborlight.llm import bpe, jaccard, mixing, quality, suffix
+from harborlight.llm.common import Tables
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (learned from labels.quality outside the held-out fold) does not reject."""
+    return quality.keep_good(docs, quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group that links of at least 0.8 over five-word shingles join."""
+    return jaccard.keep_first(docs, n=5, percent=80)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document holds."""
+    return suffix.strip_repeats(docs)[0]
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them, twice at most."""
+    return mixing.take(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to, of every row."""
+    return bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", bpe_stage),
+]
+
+#: Learned models, shingle joins and BPE have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is a table in the shared folder that the next stage reads."""
+    tables, docs = Tables(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = tables.write(docs, str(k))
+    return docs

@@ -198,5 +198,12 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Tab
     return known.union(set_sizes(d.where("doc_id IS NULL"), n).select("doc_id", "n", F.lit(None).cast("long"))), tables
 
 
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs, with all their columns, but for documents that links join to one with a smaller doc_id."""
+    linked, tables = link(docs, n, percent)
+    gone = tables.write(linked.where("component_id < doc_id").select(F.col("doc_id").alias("doc_id_")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id_"], "left_anti")
+
+
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]

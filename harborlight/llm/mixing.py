@@ -81,6 +81,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * (taken("first") + taken("second"))).cast("long").alias("taken"), *keep), tables
 
 
+def take(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it; documents without words are not taken.
+
+    Rows that repeat a doc_id are each taken as often as the one of them that is taken most. Rows with a null doc_id are not taken.
+    """
+    mixed, _ = mix(docs, **how)
+    often = mixed.where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("often_")).withColumnRenamed("doc_id", "doc_id_")
+    out = docs.join(often, docs["doc_id"].cast("long") == often["doc_id_"])
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("often_")))).select(*[docs[c] for c in docs.columns])
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
 

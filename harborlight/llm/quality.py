@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_limits, map_batches
 from .embed import Model, Params, fit, score
 
 
@@ -41,6 +42,22 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     return score(d.select("doc_id", held, "text"), model, answer, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, that the model does not reject (score 0.5 and more); without a model, all."""
+    if model is None:
+        return docs
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    sent = spark.sparkContext.broadcast((model.classes, model.table, model.bias, model.p, model.reject))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        m = Model(*sent.value)
+        prob = m.probabilities([t or "" for t in b.column("text").to_pylist()])
+        return b.filter(pa.array(prob[:, m.classes.index(1)] >= 0.5 if 1 in m.classes else np.zeros(len(prob), bool)))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_quality(docs, train_quality(docs, labels))

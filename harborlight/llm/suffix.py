@@ -296,13 +296,8 @@ def _cut(raw: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     return int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame, Tables]:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row.
-
-    Removed is each byte covered by a WIDTH-byte string that also starts in a document with a smaller doc_id. Null texts are empty;
-    texts shorter than WIDTH bytes lose nothing. Rows that repeat a doc_id stay and don't remove from each other; rows with a null
-    doc_id take no part and lose nothing. Columns other than doc_id and text play no part.
-    """
+def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame, Tables]:
+    """base(doc_id, n_bytes, sha) of all rows; later(sha, first): texts of which only `first` is not removed whole; done(doc_id, sha, n_removed, n_spans, kept_sha256, kept) of the documents that lose some bytes otherwise."""
     spark = docs.sparkSession
     arrow_limits(spark)
     tables, d = Tables(spark, "suffix"), documents(docs)
@@ -330,18 +325,44 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> tuple[DataFrame,
         for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
             raw = (t or "").encode()
             removed, runs, kept = _cut(raw, s)
-            for x, v in zip(out, (hashlib.sha256(raw).hexdigest(), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
+            for x, v in zip(out, (hashlib.sha256(raw).hexdigest(), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None)):
                 x.append(v)
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {k: pa.array(v, t) for k, v, t in zip(("sha", "n_removed", "n_spans", "kept_sha256", "kept"), out, types)})
 
-    done = map_batches(d.join(spans, "doc_id").select("doc_id", "text", "spans"), cut, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "sha"])
-    later = reps.where("first < last").select("sha", "first")
+    done = map_batches(d.join(spans, "doc_id").select("doc_id", "text", "spans"), cut, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["doc_id", "sha"])
+    return base, reps.where("first < last").select("sha", "first"), done, tables
+
+
+def remove_repeats(docs: DataFrame) -> tuple[DataFrame, Tables]:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Removed is each byte covered by a WIDTH-byte string that also starts in a document with a smaller doc_id. Null texts are empty;
+    texts shorter than WIDTH bytes lose nothing. Rows that repeat a doc_id stay and don't remove from each other; rows with a null
+    doc_id take no part and lose nothing. Columns other than doc_id and text play no part.
+    """
+    base, later, done, tables = _find(docs, False)
     all_ = base.join(later, "sha", "left").join(done, ["doc_id", "sha"], "left")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
-    kept = [F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_text else []  # null: the text as it is
-    return all_.select("doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *kept), tables
+    lost = lambda whole, column: F.when(copy, whole).otherwise(F.coalesce(column, F.lit(0))).cast("long").alias(column)
+    return all_.select("doc_id", "n_bytes", lost(F.col("n_bytes"), "n_removed"), lost(F.lit(1), "n_spans"), F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")), tables
+
+
+def strip_repeats(docs: DataFrame) -> tuple[DataFrame, Tables]:
+    """docs with the removed bytes gone from text (a character that is cut apart goes whole) and n_chars, if there, set anew.
+
+    Rows of which nothing is left go, as all they say stands in smaller documents; rows that lose nothing are as they were.
+    """
+    base, later, done, tables = _find(docs, True)
+    whole = base.join(later, "sha").where("first < doc_id").select("doc_id", "sha", F.lit("").alias("kept")).distinct()
+    changed = done.where("n_removed > 0").join(whole.select("doc_id", "sha"), ["doc_id", "sha"], "left_anti").select("doc_id", "sha", "kept").union(whole)
+    changed = tables.write(changed, "changed").toDF("doc_id_", "sha_", "kept_")
+    key = (docs["doc_id"].cast("long") == changed["doc_id_"]) & (F.sha2(F.encode(docs["text"].cast("string"), "UTF-8"), 256) == changed["sha_"])
+    out = docs.join(changed, key, "left").where("kept_ IS NULL OR kept_ <> ''")
+    text = F.coalesce(F.col("kept_"), docs["text"])
+    fresh = {"text": text, "n_chars": F.when(F.col("kept_").isNull(), docs["n_chars"]).otherwise(F.length("kept_").cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[fresh.get(c, docs[c]).alias(c) for c in docs.columns]), tables
 
 
 def op6_suffix(spark, sf_dir: str) -> DataFrame:
