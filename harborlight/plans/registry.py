@@ -1,4 +1,10 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import programs
+from .catalogue import Q
+from .dialect import duck_sql, spark_query
+
+QUERIES: dict = {name: spark_query(builder) for name, builder in Q.items()} | programs.QUERIES
+ORACLE: dict = {name: duck_sql(builder) for name, builder in Q.items()} | programs.ORACLE
