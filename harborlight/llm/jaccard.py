@@ -163,7 +163,7 @@ def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) ->
     while True:
         by = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main")).where("c * c > s")
         rest = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0))).first()[0]
-        if rest <= REST * entries or k == ROUNDS:
+        if k and (rest <= REST * entries or k == ROUNDS):
             break
         # round 0: the document that shares most of its shingles; later ones: one outside the entry's largest component
         best = F.struct(F.col("known"), -F.col("rep")) if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)).cast("double").alias("known"), -F.col("rep"))
