@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from .common import arrow_limits, by_part, mix64, text_bytes
 
 #: Pairs that a task gathers before it sends them, and pairs about that a part receives.
-BUFFER, PART = 1 << 20, 1 << 20
+BUFFER, PART = 1 << 19, 1 << 18
+#: Bytes of text whose hashes are in memory at once; a longer text is taken whole.
+BYTES = 1 << 20
 
 
 def parts_for(pairs: int) -> int:
@@ -49,12 +51,17 @@ def exchange(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            row, h = pairs(*text_bytes(b.column("text")))
-            held.append((b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row], h))
-            size += len(h)
-            if size >= BUFFER:
-                yield pack(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+            data, starts = text_bytes(b.column("text"))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < len(ids):
+                end = max(at + 1, int(np.searchsorted(starts, starts[at] + BYTES, "right")) - 1)
+                row, h = pairs(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
+                held.append((ids[at:end][row], h))
+                size, at = size + len(h), end
+                if size >= BUFFER:
+                    yield pack(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
         if size:
             yield pack(*map(np.concatenate, zip(*held)))
 

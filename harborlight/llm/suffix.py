@@ -21,6 +21,8 @@ from .packed import exchange, parts_for, repeated, unpack
 WIDTH, GRAM = 50, 24
 #: Windows of a segment at most, and bytes of segments that a shard holds, about.
 RUN, SHARD = 64, 2 << 20
+#: Bytes of segments that a task holds before it sends them.
+POOL = 48 << 20
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
@@ -217,36 +219,101 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[at[:-1]], pa.int64()), "anchors": pa.array([h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
 
-def _segments(b: pa.RecordBatch) -> pa.RecordBatch:
-    out: dict[str, list] = {k: [] for k in ("doc_id", "at", "anchor", "content")}
-    for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
-        raw = (text or "").encode()
-        data = np.frombuffer(raw, np.uint8)
-        a, ok, _ = window_anchors(data, np.array([0, len(data)]))
-        known = np.unique(np.frombuffer(b"".join(lists), np.uint64))
-        if not len(known):
-            continue
-        k = np.minimum(np.searchsorted(known, a), len(known) - 1)
-        at = np.flatnonzero(ok & (known[k] == a))
-        if not len(at):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])]))
-        for x, y in zip(at[first].tolist(), at[np.append(first[1:], len(at)) - 1].tolist()):
-            for s in range(x, y + 1, RUN):
-                out["doc_id"].append(doc_id)
-                out["at"].append(s)
-                out["anchor"].append(int(a[s].view(np.int64)))
-                out["content"].append(raw[s : min(s + RUN - 1, y) + WIDTH])
-    key = [hashlib.blake2b(c, digest_size=16).digest() for c in out["content"]]
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "at": pa.array(out["at"], pa.int32()), "anchor": pa.array(out["anchor"], pa.int64()), "key": pa.array(key, pa.binary()), "content": pa.array(out["content"], pa.binary())})
+def _segments(shards: int):
+    """Runs of windows that share an anchor which another document has too.
+
+    Rows of kind 0 say which segment stands where in a document; rows of kind 1 hold each segment's bytes once a task (or once in
+    POOL bytes of them), with the smallest and the largest document of the task that has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: dict[bytes, list] = {}
+        held = 0
+
+        def rows(kind: int, columns: list) -> pa.RecordBatch:
+            names = ("doc_id", "at", "key", "most", "anchor", "content", "part")
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            n = len(columns[0])
+            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v, t) for k, v, t in zip(names, columns, types)})
+
+        def flush() -> pa.RecordBatch:
+            keys = list(pool)
+            least, most, anchor, content = zip(*pool.values())
+            part = (mix64(np.array(anchor, np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            return rows(1, [list(least), [None] * len(keys), keys, list(most), list(anchor), list(content), part])
+
+        for b in batches:
+            refs: tuple[list, list, list] = ([], [], [])
+            for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
+                raw = (text or "").encode()
+                a, ok, _ = window_anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                known = np.unique(np.frombuffer(b"".join(lists), np.uint64))
+                at = np.flatnonzero(ok & (known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a)) if len(known) else known
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])]))
+                for x, y in zip(at[first].tolist(), at[np.append(first[1:], len(at)) - 1].tolist()):
+                    for s in range(x, y + 1, RUN):
+                        content = raw[s : min(s + RUN - 1, y) + WIDTH]
+                        key = hashlib.blake2b(content, digest_size=16).digest()
+                        for k, v in zip(refs, (doc_id, s, key)):
+                            k.append(v)
+                        one = pool.get(key)
+                        if one is None:
+                            pool[key] = [doc_id, doc_id, int(a[s].view(np.int64)), content]
+                            held += len(content) + 200
+                        else:
+                            one[0], one[1] = min(one[0], doc_id), max(one[1], doc_id)
+            n = len(refs[0])
+            yield rows(0, [*refs, [None] * n, [None] * n, [None] * n, [None] * n])
+            if held > POOL:
+                yield flush()
+                pool, held = {}, 0
+        if pool:
+            yield flush()
+
+    return run
 
 
 def _first_holders(table: pa.Table) -> pa.Table:
     """For each segment of a shard, the smallest document that holds each of its windows, where one is smaller than the segment's largest.
 
+    Equal segments of several tasks become one. An anchor with one kind of segment needs no order: the smallest document of the
+    segment holds all its windows first. The segments of all other anchors stand in one suffix array.
     firsts: the windows in runs, as (how many int64, document int64).
     """
-    contents = table.column("content").to_pylist()
+    keys, contents = table.column("key").to_pylist(), table.column("content").to_pylist()
+    index: dict[bytes, int] = {}
+    where = np.array([index.setdefault(k, len(index)) for k in keys])
+    low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+    np.minimum.at(low, where, table.column("doc_id").to_numpy())
+    np.maximum.at(high, where, table.column("most").to_numpy())
+    _, first = np.unique(where, return_index=True)
+    anchor = table.column("anchor").to_numpy()[first]
+    keys, contents = [keys[i] for i in first.tolist()], [contents[i] for i in first.tolist()]
+    _, kind, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    out: tuple[list, list] = ([], [])
+    for i in np.flatnonzero((count[kind] == 1) & (low < high)).tolist():
+        out[0].append(keys[i])
+        out[1].append(np.array([len(contents[i]) - WIDTH + 1, low[i]], "<i8").tobytes())
+    many = np.flatnonzero(count[kind] > 1)
+    many = many[np.argsort(kind[many], kind="stable")]
+    begin = 0
+    sizes = np.cumsum([len(contents[i]) for i in many.tolist()])
+    while begin < len(many):  # whole anchors at a time, about SHARD bytes of them
+        end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SHARD)) + 1
+        while end < len(many) and kind[many[end]] == kind[many[end - 1]]:
+            end += 1
+        some = many[begin:end].tolist()
+        begin = end
+        for i, runs in zip(some, _ordered([contents[i] for i in some], low[some], high[some])):
+            if runs:
+                out[0].append(keys[i])
+                out[1].append(runs)
+    return pa.table({"key": pa.array(out[0], pa.binary()), "firsts": pa.array(out[1], pa.binary())})
+
+
+def _ordered(contents: list[bytes], low: np.ndarray, high: np.ndarray) -> list[bytes | None]:
     sizes = np.array([len(c) for c in contents])
     t = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -257,20 +324,15 @@ def _first_holders(table: pa.Table) -> pa.Table:
     joins = common_prefixes(t, sa, WIDTH) >= WIDTH
     sa = sa[full[sa]]
     group = np.cumsum(~joins[sa])
-    least = table.column("least").to_numpy()[owner[sa]]
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     first = np.zeros(len(t), np.int64)
-    first[sa] = np.repeat(np.minimum.reduceat(least, at), np.diff(np.append(at, len(sa))))
-    most = table.column("most").to_numpy()
-    begin = ends - sizes
-    keep, runs = [], []
-    for i, key in enumerate(table.column("key").to_pylist()):
-        mine = first[begin[i] : ends[i] - WIDTH + 1]
-        if mine.min() < most[i]:
-            edge = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            keep.append(key)
-            runs.append(np.stack([np.diff(np.append(edge, len(mine))), mine[edge]], axis=1).astype("<i8").tobytes())
-    return pa.table({"key": pa.array(keep, pa.binary()), "firsts": pa.array(runs, pa.binary())})
+    first[sa] = np.repeat(np.minimum.reduceat(low[owner[sa]], at), np.diff(np.append(at, len(sa))))
+    out: list[bytes | None] = []
+    for b, e, most in zip((ends - sizes).tolist(), ends.tolist(), high.tolist()):
+        mine = first[b : e - WIDTH + 1]
+        edge = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        out.append(np.stack([np.diff(np.append(edge, len(mine))), mine[edge]], axis=1).astype("<i8").tobytes() if mine.min() < most else None)
+    return out
 
 
 def _spans(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -309,16 +371,15 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     _, size = total_bytes(d)
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
     asked = shared.join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    segments = tables.write(map_batches(d.join(asked, "doc_id").select("doc_id", "text", "anchors"), _segments, "doc_id long, at int, anchor long, key binary, content binary"), "segments")
-    unique = segments.groupBy("anchor", "key", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    unique = tables.write(unique, "unique")
-    weight = unique.agg(F.coalesce(F.sum(F.length("content") + 1), F.lit(0))).first()[0]
-    # a document's windows can also repeat within its class of equal segments: `most` then lies above `least`
-    holders = unique.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(max(8, weight // SHARD))).cast("int")).groupBy("part").applyInArrow(_first_holders, "key binary, firsts binary")
-    hits = segments.select("doc_id", "at", "key").join(holders, "key")
+    shards = int(max(8, size // (2 * SHARD)))
+    cut_out = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), "kind int, doc_id long, at int, key binary, most long, anchor long, content binary, part int")
+    cut_out.write.partitionBy("kind").option("compression", "zstd").parquet(f"{tables.root}/segments")
+    segments = spark.read.schema("doc_id long, at int, key binary, most long, anchor long, content binary, part int, kind int").parquet(f"{tables.root}/segments")
+    holders = segments.where("kind = 1").select("part", "key", "doc_id", "most", "anchor", "content").groupBy("part").applyInArrow(_first_holders, "key binary, firsts binary")
+    hits = segments.where("kind = 0").select("doc_id", "at", "key").join(holders, "key")
     spans = map_batches(hits.select("doc_id", "at", "firsts"), _spans, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
-    tables.drop("segments", "unique")
+    tables.drop("segments")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
