@@ -222,28 +222,30 @@ def _shared(table: pa.Table) -> pa.Table:
 def _segments(shards: int):
     """Runs of windows that share an anchor which another document has too.
 
-    Rows of kind 0 say which segment stands where in a document; rows of kind 1 hold each segment's bytes once a task (or once in
-    POOL bytes of them), with the smallest and the largest document of the task that has it.
+    Rows of kind 0 say, for a document and a shard, which segments stand where; rows of kind 1 hold each segment's bytes once a task
+    (or once in POOL bytes of them), with the smallest and the largest document of the task that has it. Segments have 64-bit keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: dict[bytes, list] = {}
+        pool: dict[int, list] = {}
         held = 0
 
         def rows(kind: int, columns: list) -> pa.RecordBatch:
-            names = ("doc_id", "at", "key", "most", "anchor", "content", "part")
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            names = ("part", "doc_id", "at", "keys", "most", "anchor", "content")
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
             n = len(columns[0])
-            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v, t) for k, v, t in zip(names, columns, types)})
+            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v if v is not None else [None] * n, t) for k, v, t in zip(names, columns, types)})
+
+        def part_of(anchors: np.ndarray) -> np.ndarray:
+            return (mix64(anchors) % np.uint64(shards)).astype(np.int32)
 
         def flush() -> pa.RecordBatch:
-            keys = list(pool)
             least, most, anchor, content = zip(*pool.values())
-            part = (mix64(np.array(anchor, np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            return rows(1, [list(least), [None] * len(keys), keys, list(most), list(anchor), list(content), part])
+            anchor = np.array(anchor, np.uint64)
+            return rows(1, [part_of(anchor), list(least), None, [np.int64(k).tobytes() for k in pool], list(most), anchor.view(np.int64), list(content)])
 
         for b in batches:
-            refs: tuple[list, list, list] = ([], [], [])
+            refs: tuple[list, list, list, list] = ([], [], [], [])
             for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
                 raw = (text or "").encode()
                 a, ok, _ = window_anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -251,21 +253,32 @@ def _segments(shards: int):
                 at = np.flatnonzero(ok & (known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a)) if len(known) else known
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])]))
-                for x, y in zip(at[first].tolist(), at[np.append(first[1:], len(at)) - 1].tolist()):
-                    for s in range(x, y + 1, RUN):
-                        content = raw[s : min(s + RUN - 1, y) + WIDTH]
-                        key = hashlib.blake2b(content, digest_size=16).digest()
-                        for k, v in zip(refs, (doc_id, s, key)):
-                            k.append(v)
-                        one = pool.get(key)
-                        if one is None:
-                            pool[key] = [doc_id, doc_id, int(a[s].view(np.int64)), content]
-                            held += len(content) + 200
-                        else:
-                            one[0], one[1] = min(one[0], doc_id), max(one[1], doc_id)
-            n = len(refs[0])
-            yield rows(0, [*refs, [None] * n, [None] * n, [None] * n, [None] * n])
+                new = np.concatenate([[True], (np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])])
+                first = np.flatnonzero(new)
+                place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                first = np.flatnonzero(place % RUN == 0)
+                begin, end = at[first], at[np.append(first[1:], len(at)) - 1] + WIDTH
+                anchors, keys = a[begin], []
+                for x, y, anchor in zip(begin.tolist(), end.tolist(), anchors.tolist()):
+                    content = raw[x:y]
+                    key = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+                    keys.append(key)
+                    one = pool.get(key)
+                    if one is None:
+                        pool[key] = [doc_id, doc_id, anchor, content]
+                        held += len(content) + 200
+                    elif doc_id < one[0]:
+                        one[0] = doc_id
+                    elif doc_id > one[1]:
+                        one[1] = doc_id
+                parts, keys = part_of(anchors), np.array(keys, np.int64)
+                order = np.argsort(parts, kind="stable")
+                parts, keys, begin = parts[order], keys[order], begin[order].astype(np.int32)
+                edge = np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts)).tolist()
+                for x, y in zip(edge[:-1], edge[1:]):
+                    for k, v in zip(refs, (int(parts[x]), doc_id, begin[x:y].tobytes(), keys[x:y].tobytes())):
+                        k.append(v)
+            yield rows(0, [*refs, None, None, None])
             if held > POOL:
                 yield flush()
                 pool, held = {}, 0
@@ -275,45 +288,70 @@ def _segments(shards: int):
     return run
 
 
-def _first_holders(table: pa.Table) -> pa.Table:
-    """For each segment of a shard, the smallest document that holds each of its windows, where one is smaller than the segment's largest.
+def _shard(refs: pa.Table, segments: pa.Table) -> pa.Table:
+    """Bytes [from, to) of the shard's documents that windows cover which start in a smaller document, packed by document."""
+    if not refs.num_rows or not segments.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+    keys, runs = _first_holders(segments)
+    place = np.frombuffer(b"".join(refs.column("at").to_pylist()), np.int32).astype(np.int64)
+    counts = [len(x) // 8 for x in refs.column("keys").to_pylist()]
+    owner = np.repeat(refs.column("doc_id").to_numpy(), counts)
+    mine = np.frombuffer(b"".join(refs.column("keys").to_pylist()), np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    k = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+    hit = np.flatnonzero(keys[k] == mine) if len(keys) else np.zeros(0, np.int64)
+    k = order[k[hit]]
+    many = np.array([len(r) for r in runs], np.int64)  # of each segment's runs of windows: how many windows, and their first document
+    at = np.cumsum(many) - many
+    flat = np.concatenate(runs) if runs else np.zeros((0, 2), np.int64)
+    times = many[k]
+    run = np.repeat(at[k] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    upto = np.cumsum(flat[:, 0]) - np.repeat(np.cumsum(flat[:, 0])[at] - flat[at, 0], many) if len(flat) else np.zeros(0, np.int64)
+    own, start = np.repeat(owner[hit], times), np.repeat(place[hit], times)
+    end = start + upto[run]
+    gone = flat[run, 1] < own
+    own, spans = own[gone], np.stack([(end - flat[run, 0])[gone], end[gone] - 1 + WIDTH], axis=1).astype("<i8")
+    order = np.argsort(own, kind="stable")
+    own, spans = own[order], spans[order]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)).tolist() if len(own) else [0]
+    return pa.table({"doc_id": pa.array(own[edge[:-1]], pa.int64()), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())})
+
+
+def _first_holders(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each segment of a shard, the smallest document that holds each of its windows, where one is smaller than the segment's largest:
+    keys, and for each the windows in runs, as (how many, document).
 
     Equal segments of several tasks become one. An anchor with one kind of segment needs no order: the smallest document of the
     segment holds all its windows first. The segments of all other anchors stand in one suffix array.
-    firsts: the windows in runs, as (how many int64, document int64).
     """
-    keys, contents = table.column("key").to_pylist(), table.column("content").to_pylist()
-    index: dict[bytes, int] = {}
-    where = np.array([index.setdefault(k, len(index)) for k in keys])
-    low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+    raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+    keys, first, where = np.unique(raw, return_index=True, return_inverse=True)
+    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, where, table.column("doc_id").to_numpy())
     np.maximum.at(high, where, table.column("most").to_numpy())
-    _, first = np.unique(where, return_index=True)
-    anchor = table.column("anchor").to_numpy()[first]
-    keys, contents = [keys[i] for i in first.tolist()], [contents[i] for i in first.tolist()]
-    _, kind, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    out: tuple[list, list] = ([], [])
-    for i in np.flatnonzero((count[kind] == 1) & (low < high)).tolist():
-        out[0].append(keys[i])
-        out[1].append(np.array([len(contents[i]) - WIDTH + 1, low[i]], "<i8").tobytes())
+    content = table.column("content").take(pa.array(first)).to_pylist()
+    _, kind, count = np.unique(table.column("anchor").to_numpy()[first], return_inverse=True, return_counts=True)
+    alone = np.flatnonzero((count[kind] == 1) & (low < high))
+    found, runs = alone.tolist(), [np.array([[len(content[i]) - WIDTH + 1, low[i]]]) for i in alone.tolist()]
     many = np.flatnonzero(count[kind] > 1)
     many = many[np.argsort(kind[many], kind="stable")]
+    sizes = np.cumsum([len(content[i]) for i in many.tolist()])
     begin = 0
-    sizes = np.cumsum([len(contents[i]) for i in many.tolist()])
     while begin < len(many):  # whole anchors at a time, about SHARD bytes of them
         end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SHARD)) + 1
         while end < len(many) and kind[many[end]] == kind[many[end - 1]]:
             end += 1
-        some = many[begin:end].tolist()
+        some = many[begin:end]
         begin = end
-        for i, runs in zip(some, _ordered([contents[i] for i in some], low[some], high[some])):
-            if runs:
-                out[0].append(keys[i])
-                out[1].append(runs)
-    return pa.table({"key": pa.array(out[0], pa.binary()), "firsts": pa.array(out[1], pa.binary())})
+        for i, r in zip(some.tolist(), _ordered([content[i] for i in some.tolist()], low[some], high[some])):
+            if r is not None:
+                found.append(i)
+                runs.append(r)
+    return keys[found], runs
 
 
-def _ordered(contents: list[bytes], low: np.ndarray, high: np.ndarray) -> list[bytes | None]:
+def _ordered(contents: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray | None]:
     sizes = np.array([len(c) for c in contents])
     t = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -327,27 +365,14 @@ def _ordered(contents: list[bytes], low: np.ndarray, high: np.ndarray) -> list[b
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     first = np.zeros(len(t), np.int64)
     first[sa] = np.repeat(np.minimum.reduceat(low[owner[sa]], at), np.diff(np.append(at, len(sa))))
-    out: list[bytes | None] = []
+    out: list[np.ndarray | None] = []
     for b, e, most in zip((ends - sizes).tolist(), ends.tolist(), high.tolist()):
         mine = first[b : e - WIDTH + 1]
         edge = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        out.append(np.stack([np.diff(np.append(edge, len(mine))), mine[edge]], axis=1).astype("<i8").tobytes() if mine.min() < most else None)
+        out.append(np.stack([np.diff(np.append(edge, len(mine))), mine[edge]], axis=1) if mine.min() < most else None)
     return out
 
 
-def _spans(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Bytes [from, to) of a document that windows cover which start in a smaller document, of one segment each."""
-    ids, spans = [], []
-    for doc_id, at, firsts in zip(b.column("doc_id").to_pylist(), b.column("at").to_pylist(), b.column("firsts").to_pylist()):
-        runs = np.frombuffer(firsts, "<i8").reshape(-1, 2)
-        end = at + np.cumsum(runs[:, 0])
-        hit = runs[:, 1] < doc_id
-        if hit.any():
-            ids.append(doc_id)
-            spans.append(np.stack([(end - runs[:, 0])[hit], end[hit] - 1 + WIDTH], axis=1).astype("<i8").tobytes())
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
-
-
 def _cut(raw: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what is kept."""
     s = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
@@ -372,12 +397,13 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
     asked = shared.join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     shards = int(max(8, size // (2 * SHARD)))
-    cut_out = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), "kind int, doc_id long, at int, key binary, most long, anchor long, content binary, part int")
+    names = "part int, doc_id long, at binary, keys binary, most long, anchor long, content binary"
+    cut_out = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), f"kind int, {names}")
     cut_out.write.partitionBy("kind").option("compression", "zstd").parquet(f"{tables.root}/segments")
-    segments = spark.read.schema("doc_id long, at int, key binary, most long, anchor long, content binary, part int, kind int").parquet(f"{tables.root}/segments")
-    holders = segments.where("kind = 1").select("part", "key", "doc_id", "most", "anchor", "content").groupBy("part").applyInArrow(_first_holders, "key binary, firsts binary")
-    hits = segments.where("kind = 0").select("doc_id", "at", "key").join(holders, "key")
-    spans = map_batches(hits.select("doc_id", "at", "firsts"), _spans, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    segments = spark.read.schema(f"{names}, kind int").parquet(f"{tables.root}/segments")
+    refs = segments.where("kind = 0").select("part", "doc_id", "at", "keys").groupBy("part")
+    bodies = segments.where("kind = 1").select("part", "doc_id", "most", "anchor", "keys", "content").groupBy("part")
+    spans = refs.cogroup(bodies).applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
     tables.drop("segments")
 
