@@ -395,7 +395,7 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     d = d.where("doc_id IS NOT NULL")
     _, size = total_bytes(d)
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
-    asked = shared.join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    asked = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shards = int(max(8, size // (2 * SHARD)))
     names = "part int, doc_id long, at binary, keys binary, most long, anchor long, content binary"
     cut_out = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), f"kind int, {names}")
