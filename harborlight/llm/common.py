@@ -44,8 +44,15 @@ class Tables:
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def write(self, df: DataFrame, name: str, by: tuple[str, ...] = (), compression: str = "zstd") -> DataFrame:
+        """df as a table, read back. Once it stands, the shuffle files that led to it go, as nothing reads them again."""
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, None)
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.mode("overwrite").partitionBy(*by).option("compression", compression).parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(setting, before) if before is not None else self.spark.conf.unset(setting)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

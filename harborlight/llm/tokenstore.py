@@ -196,8 +196,7 @@ def write_store(docs: DataFrame, path: str, tables: Tables) -> tuple[DataFrame,
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     staged = d.mapInArrow(encode, "kind int, doc_id long, n long, digests binary, sizes binary, data binary")
-    staged.write.partitionBy("kind").option("compression", "none").parquet(f"{tables.root}/staged")
-    staged = spark.read.schema("doc_id long, n long, digests binary, sizes binary, data binary, kind int").parquet(f"{tables.root}/staged")
+    staged = tables.write(staged, "staged", ("kind",), "none")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = start = 0
