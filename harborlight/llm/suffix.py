@@ -12,17 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, arrow_limits, documents, map_batches, mix64, text_bytes, total_bytes
-from .packed import exchange, parts_for, repeated, unpack
+from .packed import _runs, exchange, parts_for, repeated, unpack
 
 WIDTH, GRAM = 50, 24
 #: Windows of a segment at most, and bytes of segments that a shard holds, about.
 RUN, SHARD = 64, 2 << 20
-#: Bytes of segments that a task holds before it sends them.
-POOL = 48 << 20
+#: Bytes of segments, and places of segments in documents, that a task holds before it sends them.
+POOL, PLACES = 48 << 20, 1 << 19
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
@@ -222,17 +223,19 @@ def _shared(table: pa.Table) -> pa.Table:
 def _segments(shards: int):
     """Runs of windows that share an anchor which another document has too.
 
-    Rows of kind 0 say, for a document and a shard, which segments stand where; rows of kind 1 hold each segment's bytes once a task
-    (or once in POOL bytes of them), with the smallest and the largest document of the task that has it. Segments have 64-bit keys.
+    Rows of kind 0 say, for a shard and PLACES places of a task, which segments stand where in which documents; rows of kind 1 hold
+    each segment's bytes once a task (or once in POOL bytes of them), with the smallest and the largest document of the task that has
+    it. Segments have 64-bit keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: dict[int, list] = {}
-        held = 0
+        refs: list[tuple] = []
+        held = places = 0
 
         def rows(kind: int, columns: list) -> pa.RecordBatch:
-            names = ("part", "doc_id", "at", "keys", "most", "anchor", "content")
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            names = ("part", "owners", "at", "keys", "least", "most", "anchor", "content")
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             n = len(columns[0])
             return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v if v is not None else [None] * n, t) for k, v, t in zip(names, columns, types)})
 
@@ -242,10 +245,17 @@ def _segments(shards: int):
         def flush() -> pa.RecordBatch:
             least, most, anchor, content = zip(*pool.values())
             anchor = np.array(anchor, np.uint64)
-            return rows(1, [part_of(anchor), list(least), None, [np.int64(k).tobytes() for k in pool], list(most), anchor.view(np.int64), list(content)])
+            return rows(1, [part_of(anchor), None, None, [np.int64(k).tobytes() for k in pool], list(least), list(most), anchor.view(np.int64), list(content)])
+
+        def send() -> pa.RecordBatch:
+            parts, ids, begin, keys = map(np.concatenate, zip(*refs))
+            order = np.argsort(parts, kind="stable")
+            parts, ids, begin, keys = parts[order], ids[order], begin[order], keys[order]
+            edge = np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts)).tolist()
+            cuts = list(zip(edge[:-1], edge[1:]))
+            return rows(0, [parts[edge[:-1]], [_runs(ids[x:y]) for x, y in cuts], [begin[x:y].tobytes() for x, y in cuts], [keys[x:y].tobytes() for x, y in cuts], None, None, None, None])
 
         for b in batches:
-            refs: tuple[list, list, list, list] = ([], [], [], [])
             for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
                 raw = (text or "").encode()
                 a, ok, _ = window_anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -271,31 +281,30 @@ def _segments(shards: int):
                         one[0] = doc_id
                     elif doc_id > one[1]:
                         one[1] = doc_id
-                parts, keys = part_of(anchors), np.array(keys, np.int64)
-                order = np.argsort(parts, kind="stable")
-                parts, keys, begin = parts[order], keys[order], begin[order].astype(np.int32)
-                edge = np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts)).tolist()
-                for x, y in zip(edge[:-1], edge[1:]):
-                    for k, v in zip(refs, (int(parts[x]), doc_id, begin[x:y].tobytes(), keys[x:y].tobytes())):
-                        k.append(v)
-            yield rows(0, [*refs, None, None, None])
+                refs.append((part_of(anchors), np.full(len(keys), doc_id, np.int64), begin.astype(np.int32), np.array(keys, np.int64)))
+                places += len(keys)
+                if places >= PLACES:
+                    yield send()
+                    refs, places = [], 0
             if held > POOL:
                 yield flush()
                 pool, held = {}, 0
+        if refs:
+            yield send()
         if pool:
             yield flush()
 
     return run
 
 
-def _shard(refs: pa.Table, segments: pa.Table) -> pa.Table:
+def _shard(table: pa.Table) -> pa.Table:
     """Bytes [from, to) of the shard's documents that windows cover which start in a smaller document, packed by document."""
+    refs, segments = (table.filter(pc.equal(table.column("kind"), k)) for k in (0, 1))
     if not refs.num_rows or not segments.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
     keys, runs = _first_holders(segments)
     place = np.frombuffer(b"".join(refs.column("at").to_pylist()), np.int32).astype(np.int64)
-    counts = [len(x) // 8 for x in refs.column("keys").to_pylist()]
-    owner = np.repeat(refs.column("doc_id").to_numpy(), counts)
+    owner = np.concatenate([_owners(x) for x in refs.column("owners").to_pylist()])
     mine = np.frombuffer(b"".join(refs.column("keys").to_pylist()), np.int64)
     order = np.argsort(keys)
     keys = keys[order]
@@ -311,13 +320,18 @@ def _shard(refs: pa.Table, segments: pa.Table) -> pa.Table:
     own, start = np.repeat(owner[hit], times), np.repeat(place[hit], times)
     end = start + upto[run]
     gone = flat[run, 1] < own
-    own, spans = own[gone], np.stack([(end - flat[run, 0])[gone], end[gone] - 1 + WIDTH], axis=1).astype("<i8")
+    own, spans = own[gone], np.stack([(end - flat[run, 0])[gone], end[gone] - 1 + WIDTH], axis=1).astype("<i4")  # a text has under 2^31 bytes
     order = np.argsort(own, kind="stable")
     own, spans = own[order], spans[order]
     edge = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)).tolist() if len(own) else [0]
     return pa.table({"doc_id": pa.array(own[edge[:-1]], pa.int64()), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())})
 
 
+def _owners(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    return np.repeat(np.frombuffer(packed, np.int64, n, 8), np.frombuffer(packed, np.uint32, n, 8 + 8 * n))
+
+
 def _first_holders(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each segment of a shard, the smallest document that holds each of its windows, where one is smaller than the segment's largest:
     keys, and for each the windows in runs, as (how many, document).
@@ -328,7 +342,7 @@ def _first_holders(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
     keys, first, where = np.unique(raw, return_index=True, return_inverse=True)
     low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, table.column("doc_id").to_numpy())
+    np.minimum.at(low, where, table.column("least").to_numpy())
     np.maximum.at(high, where, table.column("most").to_numpy())
     content = table.column("content").take(pa.array(first)).to_pylist()
     _, kind, count = np.unique(table.column("anchor").to_numpy()[first], return_inverse=True, return_counts=True)
@@ -375,7 +389,7 @@ def _ordered(contents: list[bytes], low: np.ndarray, high: np.ndarray) -> list[n
 
 def _cut(raw: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what is kept."""
-    s = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    s = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
     edge = np.zeros(len(raw) + 1, np.int32)
     np.add.at(edge, s[:, 0], 1)
     np.add.at(edge, s[:, 1], -1)
@@ -397,15 +411,10 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
     asked = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shards = int(max(8, size // (2 * SHARD)))
-    names = "part int, doc_id long, at binary, keys binary, most long, anchor long, content binary"
-    cut_out = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), f"kind int, {names}")
-    cut_out.write.partitionBy("kind").option("compression", "zstd").parquet(f"{tables.root}/segments")
-    segments = spark.read.schema(f"{names}, kind int").parquet(f"{tables.root}/segments")
-    refs = segments.where("kind = 0").select("part", "doc_id", "at", "keys").groupBy("part")
-    bodies = segments.where("kind = 1").select("part", "doc_id", "most", "anchor", "keys", "content").groupBy("part")
-    spans = refs.cogroup(bodies).applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    names = "kind int, part int, owners binary, at binary, keys binary, least long, most long, anchor long, content binary"
+    segments = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), names)
+    spans = segments.groupBy("part").applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
-    tables.drop("segments")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
