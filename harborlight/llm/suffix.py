@@ -410,11 +410,13 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     _, size = total_bytes(d)
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
     asked = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    asked = tables.write(asked, "asked")  # so that the anchors' shuffle files go before the segments' come
     shards = int(max(8, size // (2 * SHARD)))
     names = "kind int, part int, owners binary, at binary, keys binary, least long, most long, anchor long, content binary"
     segments = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), names)
     spans = segments.groupBy("part").applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
+    tables.drop("asked")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
