@@ -8,11 +8,12 @@ equal segments become one, and segments go to shards by anchor. A shard's suffix
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,8 +225,8 @@ def _segments(shards: int):
     """Runs of windows that share an anchor which another document has too.
 
     Rows of kind 0 say, for a shard and PLACES places of a task, which segments stand where in which documents; rows of kind 1 hold
-    each segment's bytes once a task (or once in POOL bytes of them), with the smallest and the largest document of the task that has
-    it. Segments have 64-bit keys.
+    the shard's segments once a task (or once in POOL bytes of them), each with the smallest and the largest document of the task that
+    has it. Segments have 64-bit keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,26 +235,33 @@ def _segments(shards: int):
         held = places = 0
 
         def rows(kind: int, columns: list) -> pa.RecordBatch:
-            names = ("part", "owners", "at", "keys", "least", "most", "anchor", "content")
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             n = len(columns[0])
-            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v if v is not None else [None] * n, t) for k, v, t in zip(names, columns, types)})
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int32())} | {k: pa.array(v if v is not None else [None] * n, t) for k, v, t in zip(("part", "owners", "at", "keys", "bodies"), columns, types)})
 
         def part_of(anchors: np.ndarray) -> np.ndarray:
             return (mix64(anchors) % np.uint64(shards)).astype(np.int32)
 
+        def by_shard(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+            """An order by shard, the shards there are, and where each one's rows are in that order."""
+            order = np.argsort(parts, kind="stable")
+            p = parts[order]
+            edge = np.append(np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])), len(p))
+            return order, p[edge[:-1]], list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+
         def flush() -> pa.RecordBatch:
             least, most, anchor, content = zip(*pool.values())
-            anchor = np.array(anchor, np.uint64)
-            return rows(1, [part_of(anchor), None, None, [np.int64(k).tobytes() for k in pool], list(least), list(most), anchor.view(np.int64), list(content)])
+            columns = [np.array(x, t) for x, t in zip((list(pool), least, most, anchor, list(map(len, content))), _BODY)]
+            order, parts, cuts = by_shard(part_of(columns[3]))
+            columns, content = [c[order] for c in columns], [content[i] for i in order.tolist()]
+            pack = zstandard.ZstdCompressor(level=1)
+            return rows(1, [parts, None, None, None, [pack.compress(b"".join((np.int64(y - x).tobytes(), *(c[x:y].tobytes() for c in columns), *content[x:y]))) for x, y in cuts]])
 
         def send() -> pa.RecordBatch:
             parts, ids, begin, keys = map(np.concatenate, zip(*refs))
-            order = np.argsort(parts, kind="stable")
-            parts, ids, begin, keys = parts[order], ids[order], begin[order], keys[order]
-            edge = np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts)).tolist()
-            cuts = list(zip(edge[:-1], edge[1:]))
-            return rows(0, [parts[edge[:-1]], [_runs(ids[x:y]) for x, y in cuts], [begin[x:y].tobytes() for x, y in cuts], [keys[x:y].tobytes() for x, y in cuts], None, None, None, None])
+            order, parts, cuts = by_shard(parts)
+            ids, begin, keys = ids[order], begin[order], keys[order]
+            return rows(0, [parts, [_runs(ids[x:y]) for x, y in cuts], *[[c[x:y].tobytes() for x, y in cuts] for c in (begin, keys)], None])
 
         for b in batches:
             for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
@@ -332,6 +340,26 @@ def _owners(packed: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(packed, np.int64, n, 8), np.frombuffer(packed, np.uint32, n, 8 + 8 * n))
 
 
+#: Types of a segment's key, smallest document, largest document, anchor and size, as packed rows hold them before the bytes.
+_BODY = ("<i8", "<i8", "<i8", "<u8", "<u2")
+
+
+def _unpacked(packed: list[bytes]) -> tuple[list[np.ndarray], Callable[[int], bytes]]:
+    """The columns of all segments of a shard, and a function that gives the bytes of the segment at a place."""
+    unpack_, parts, blobs = zstandard.ZstdDecompressor(), [], []
+    for data in packed:
+        data = unpack_.decompress(data)
+        n, at, columns = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+        for t in _BODY:
+            columns.append(np.frombuffer(data, t, n, at))
+            at += columns[-1].nbytes
+        parts.append(columns)
+        blobs.append(data[at:])
+    columns, blob = [np.concatenate(x) for x in zip(*parts)], b"".join(blobs)
+    ends = np.cumsum(columns[4].astype(np.int64))
+    return columns, lambda i: blob[ends[i] - int(columns[4][i]) : ends[i]]
+
+
 def _first_holders(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each segment of a shard, the smallest document that holds each of its windows, where one is smaller than the segment's largest:
     keys, and for each the windows in runs, as (how many, document).
@@ -339,13 +367,14 @@ def _first_holders(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     Equal segments of several tasks become one. An anchor with one kind of segment needs no order: the smallest document of the
     segment holds all its windows first. The segments of all other anchors stand in one suffix array.
     """
-    raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+    columns, bodies = _unpacked(table.column("bodies").to_pylist())
+    raw, least, most, anchor, _ = columns
     keys, first, where = np.unique(raw, return_index=True, return_inverse=True)
     low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, where, table.column("least").to_numpy())
-    np.maximum.at(high, where, table.column("most").to_numpy())
-    content = table.column("content").take(pa.array(first)).to_pylist()
-    _, kind, count = np.unique(table.column("anchor").to_numpy()[first], return_inverse=True, return_counts=True)
+    np.minimum.at(low, where, least)
+    np.maximum.at(high, where, most)
+    content = [bodies(i) for i in first.tolist()]
+    _, kind, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
     alone = np.flatnonzero((count[kind] == 1) & (low < high))
     found, runs = alone.tolist(), [np.array([[len(content[i]) - WIDTH + 1, low[i]]]) for i in alone.tolist()]
     many = np.flatnonzero(count[kind] > 1)
@@ -412,7 +441,7 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     asked = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     asked = tables.write(asked, "asked")  # so that the anchors' shuffle files go before the segments' come
     shards = int(max(8, size // (2 * SHARD)))
-    names = "kind int, part int, owners binary, at binary, keys binary, least long, most long, anchor long, content binary"
+    names = "kind int, part int, owners binary, at binary, keys binary, bodies binary"
     segments = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), names)
     spans = segments.groupBy("part").applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
