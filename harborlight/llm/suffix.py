@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, arrow_limits, documents, map_batches, mix64, text_bytes, total_bytes
-from .packed import _runs, exchange, parts_for, repeated, unpack
+from .packed import PART, _runs, exchange, parts_for, repeated, unpack
 
 WIDTH, GRAM = 50, 24
 #: Windows of a segment at most, and bytes of segments that a shard holds, about.
@@ -208,16 +208,32 @@ def _anchor_pairs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return row[new], a[new]
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The hashes of each document that also occur elsewhere, in one part."""
-    ids, h, marks = unpack(table.column("data").to_pylist())
-    here = marks < 2
-    hit = ~here
-    hit[here] = repeated(h[here]) & (marks[here] == 0)
-    ids, h = ids[hit], h[hit]
+def _shared(buckets: int):
+    """Of one part, the hashes of each document that also occur elsewhere, packed by bucket of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, h, marks = unpack(table.column("data").to_pylist())
+        here = marks < 2
+        hit = ~here
+        hit[here] = repeated(h[here]) & (marks[here] == 0)
+        ids, h = ids[hit], h[hit]
+        bucket = (mix64(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((ids, bucket))
+        ids, h, bucket = ids[order], h[order], bucket[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(ids)).tolist() if len(ids) else [0]
+        cuts = list(zip(edge[:-1], edge[1:]))
+        return pa.table({"bucket": pa.array(bucket[edge[:-1]], pa.int32()), "owners": pa.array([_runs(ids[x:y]) for x, y in cuts], pa.binary()), "anchors": pa.array([h[x:y].tobytes() for x, y in cuts], pa.binary())})
+
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The anchors of each document of one bucket, in one row."""
+    ids = np.concatenate([_owners(x) for x in table.column("owners").to_pylist()])
+    h = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)
     order = np.argsort(ids, kind="stable")
     ids, h = ids[order], h[order]
-    at = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+    at = np.append(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), len(ids))
     return pa.table({"doc_id": pa.array(ids[at[:-1]], pa.int64()), "anchors": pa.array([h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
 
@@ -264,10 +280,10 @@ def _segments(shards: int):
             return rows(0, [parts, [_runs(ids[x:y]) for x, y in cuts], *[[c[x:y].tobytes() for x, y in cuts] for c in (begin, keys)], None])
 
         for b in batches:
-            for doc_id, text, lists in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
+            for doc_id, text, anchors_of in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors").to_pylist()):
                 raw = (text or "").encode()
                 a, ok, _ = window_anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                known = np.unique(np.frombuffer(b"".join(lists), np.uint64))
+                known = np.unique(np.frombuffer(anchors_of, np.uint64))
                 at = np.flatnonzero(ok & (known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a)) if len(known) else known
                 if not len(at):
                     continue
@@ -437,8 +453,8 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
     reps = base.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     d = d.where("doc_id IS NOT NULL")
     _, size = total_bytes(d)
-    shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared, "doc_id long, anchors binary")
-    asked = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared(max(8, size // 14 // (2 * PART))), "bucket int, owners binary, anchors binary")
+    asked = shared.groupBy("bucket").applyInArrow(_gathered, "doc_id long, anchors binary").join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     asked = tables.write(asked, "asked")  # so that the anchors' shuffle files go before the segments' come
     shards = int(max(8, size // (2 * SHARD)))
     names = "kind int, part int, owners binary, at binary, keys binary, bodies binary"
