@@ -64,7 +64,8 @@ class WordEncoder:
     def part(self, piece: str) -> list[int]:
         out: list[int] = []
         for m in self.pattern.findall(piece):
-            out += [t.id for t in self.model.tokenize(m.encode().decode("latin-1").translate(self.letters))]
+            plain = m.isascii() and m.isprintable()  # of these only the space has another letter
+            out += [t.id for t in self.model.tokenize(m.replace(" ", self.letters[32]) if plain else m.encode().decode("latin-1").translate(self.letters))]
         return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -77,18 +78,27 @@ class WordEncoder:
             todo, s = todo[more], (s[more] + np.uint64(1)) & np.uint64(SLOTS - 1)
         return got
 
-    def learn(self, h: np.ndarray, words: Iterator[str]) -> None:
-        for key, word in zip(h.tolist(), words):
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        """Add parts with distinct hashes that the table does not hold."""
+        flat, sizes = [], []
+        for word in words:
             ids = self.part(word)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            s = key & SLOTS - 1
-            while self.slot[s] >= 0:
-                s = s + 1 & SLOTS - 1
-            self.keys[s], self.slot[s] = key, self.known
-            self.at[self.known], self.len[self.known] = self.used, len(ids)
-            self.known, self.used = self.known + 1, self.used + len(ids)
+            flat += ids
+            sizes.append(len(ids))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        size, number = np.array(sizes, np.int64), np.arange(self.known, self.known + len(h))
+        self.at[number], self.len[number] = self.used + np.cumsum(size) - size, size
+        self.known, self.used = self.known + len(h), self.used + len(flat)
+        todo, s = np.arange(len(h)), h & np.uint64(SLOTS - 1)
+        while len(todo):  # of the parts that want one slot, the first gets it if it is free; all others try the next
+            _, first = np.unique(s, return_index=True)
+            put = first[self.slot[s[first]] < 0]
+            self.keys[s[put]], self.slot[s[put]] = h[todo[put]], number[todo[put]]
+            more = np.ones(len(todo), bool)
+            more[put] = False
+            todo, s = todo[more], (s[more] + np.uint64(1)) & np.uint64(SLOTS - 1)
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids start (one more than texts)."""
@@ -100,7 +110,7 @@ class WordEncoder:
         cut = (data == 32) & ~blank
         cut[starts[:-1][starts[:-1] < len(data)]] = True
         begin = np.flatnonzero(cut)
-        h = piece_hashes(data, begin)
+        h, raw = piece_hashes(data, begin), data.tobytes()
         ends, sizes, ids = np.concatenate([begin[1:], [len(data)]]), [], []
         for k in range(0, len(h), FULL):  # a block has no more distinct parts than the table holds
             part = h[k : k + FULL]
@@ -111,7 +121,8 @@ class WordEncoder:
                 self.empty()
                 new, (fresh, first) = np.arange(len(part)), np.unique(part, return_index=True)
             if len(new):
-                self.learn(fresh, (data[begin[k + i] : ends[k + i]].tobytes().decode() for i in new[first].tolist()))
+                at = k + new[first]
+                self.learn(fresh, [raw[x:y].decode() for x, y in zip(begin[at].tolist(), ends[at].tolist())])
                 where[new] = self.find(part[new])
             size = self.len[where].astype(np.int64)
             base = self.at[where] - (np.cumsum(size) - size)
