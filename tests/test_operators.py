@@ -10,7 +10,7 @@ from harborlight.kernels import raster
 from harborlight.operators.matching import greedy_match, mutual_best_match
 from harborlight.operators.memory import fold
 from harborlight.operators.near import cell_join
-from harborlight.operators.thermal import advance, Bus
+from harborlight.operators.thermal import advance, Bus, govern
 from harborlight.sources import bundle, sinks
 from harborlight.streaming.live import dispatch_to, latest_verdicts
 
@@ -52,6 +52,53 @@ def test_thermal_is_bounded_and_sunlight_heats():
     assert lit[0] > dark[0] and lit[1] < lit[0] < 150
 
 
+def _law(seconds, p, profile="FULL", act=True):
+    """The control law stage by stage, by forward simulation alone: (profile in force, chosen, junction, chassis) after each."""
+    names, watts = ["FULL", "REDUCED", "SURVEY", "BEACON"], [25.0, 15.0, 15.0, 10.0]
+    step = lambda s, w, lit, h: (s[0] + h * (w - (s[0] - s[1]) / p.r_k_per_w) / p.soc_j_per_k, s[1] + h * ((s[0] - s[1]) / p.r_k_per_w + (p.absorptivity * 1361 * p.area if lit else 0) + p.parasitic_w - p.emissivity * 5.670374419e-8 * p.area * ((s[1] + 273.15) ** 4 - 2.7**4)) / p.chassis_j_per_k)
+    state, at, out = (p.junction_c, p.chassis_c), 0.0, []
+    for sec in seconds:
+        lit, left = (at / p.period_s) % 1 >= p.eclipse, sec
+        while left > 1e-9:
+            state, left = step(state, watts[names.index(profile)], lit, min(5.0, left)), left - min(5.0, left)
+        at += sec
+        lit, pick = (at / p.period_s) % 1 >= p.eclipse, "BEACON"
+        if state[0] < p.throttle_c:
+            for n, w in zip(names, watts):
+                s, t, hold = state, 0, None
+                while t < 60_000:  # far past every time constant
+                    s, t = step(s, w, lit, 5.0), t + 5
+                    if hold is None and s[0] >= p.throttle_c:
+                        hold = t
+                need = (1 - (at / p.period_s) % 1) * p.period_s + 300 if 0 < p.eclipse < 1 else float("inf")
+                hold = 11_352 if hold is None or hold > 11_352 else hold
+                if s[0] < p.target_c or lit and p.throttle_c - state[0] >= 12 and hold >= need:
+                    pick = n
+                    break
+        if act and not (names.index(pick) < names.index(profile) and p.throttle_c - state[0] < 20):
+            profile = pick
+        out.append((profile, pick, round(state[0], 6), round(state[1], 6)))
+    return out
+
+
+@pytest.mark.parametrize("bus", [Bus(), Bus(eclipse=0.0), Bus(area=0.07), Bus(area=0.05, soc_j_per_k=60.0), Bus(parasitic_w=25.0, junction_c=60.0, chassis_c=50.0), Bus(junction_c=97.0, chassis_c=60.0), Bus(area=0.08, period_s=2000.0)])
+def test_governor_follows_the_control_law(spark, bus):
+    seconds = [float(x) for x in np.random.default_rng(7).choice([1.0, 33.0, 210.0, 900.0], 40)]
+    stages = spark.createDataFrame([("k", i, x) for i, x in enumerate(seconds)], "k string, seq long, seconds double").coalesce(1)
+    for kw, law in (({}, {}), ({"enabled": False}, {"act": False}), ({"pin": "SURVEY"}, {"act": False, "profile": "SURVEY"})):
+        got = [(r.profile, r.chosen, round(r.junction_c, 6), round(r.chassis_c, 6)) for r in govern(stages, "k", bus, **kw).orderBy("seq").collect()]
+        assert got == _law(seconds, bus, **law)
+
+
+def test_governor_sheds_to_the_floor_and_takes_cores(spark):
+    stages = spark.createDataFrame([("k", 0, 1.0, 0.0), ("k", 1, None, None)], "k string, seq long, seconds double, cores_busy double")
+    hot, still = govern(stages, "k", Bus(junction_c=97.0, chassis_c=96.0)).orderBy("seq").collect()
+    assert (hot.profile, still.profile) == ("BEACON", "BEACON") and still.elapsed_s == 1.0
+    assert abs(hot.junction_c - (97.0 + (4.0 - 1 / 0.9) / 120)) < 1e-9
+    with pytest.raises(ValueError):
+        govern(stages, "k", pin="HALF")
+
+
 def test_bundle_quarantines(spark, tmp_path):
     bundle.write_bundle(str(tmp_path))
     got = {r.scene_id: r for r in bundle.detect(spark, str(tmp_path)).collect()}
