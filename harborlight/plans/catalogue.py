@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .dialect import Dialect
 
 # 21 patrol groups with the centres of their areas.
@@ -10,6 +12,15 @@ _FLEETS = "(select * from (values " + ", ".join(f"({i}, '{n}', {a}e0, {b}e0)" fo
 _CONF = "round(least(1e0, physics_score), 3)"
 _SIZE = "case when hull_len_m < 25 then 'SMALL_CRAFT' when hull_len_m < 100 then 'MEDIUM_VESSEL' when hull_len_m < 250 then 'LARGE_VESSEL' else 'VERY_LARGE_VESSEL' end"
 
+#: Candidates a scene that the configuration allows, and that each profile of the governor does.
+CANDIDATES, PROFILE_CANDIDATES = 400, {"FULL": 400, "REDUCED": 250, "SURVEY": 120, "BEACON": 60}
+
+
+def candidate_cap(profile: str = "FULL", configured: int = CANDIDATES) -> Callable[[Dialect], str]:
+    """The largest candidates of each scene, as many as both the configuration and the profile allow."""
+    cap = min(configured, PROFILE_CANDIDATES[profile])
+    return lambda q: f"select detection_id from (select detection_id, row_number() over (partition by scene_id order by hull_len_m desc, y, x, detection_id) as k from contacts) t where k <= {cap}"
+
 
 def problems(q: Dialect) -> str:
     """Matched contacts with the three ways they can contradict the broadcast (as flags) next to what does not match."""
@@ -112,7 +123,7 @@ Q["w6_moving_average"] = lambda q: "select event_id, round(avg(value) over (part
 Q["w7_round_robin"] = lambda q: f"select o_orderkey, row_number() over (order by slot, kind, i) as sent from (select o_orderkey, kind, i, case when kind = 0 then {q.idiv('i', 3)} else i end as slot from (select o_orderkey, kind, row_number() over (partition by kind order by o_orderkey) - 1 as i from (select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0 else 1 end as kind from orders) a) b) c"
 Q["w8_transmit_time"] = lambda q: "select o_orderkey, round(sum(o_totalprice) over (order by o_orderkey rows unbounded preceding) / 52428800e0, 6) as seconds from orders"
 Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before, row_number() over (order by ts desc, event_id desc) as newest from events) t where (before is null or before <> event_type) and newest <= 100"
-Q["l1_candidate_cap"] = lambda q: "select detection_id from (select detection_id, row_number() over (partition by scene_id order by hull_len_m desc, y, x, detection_id) as k from contacts) t where k <= 20"
+Q["l1_candidate_cap"] = candidate_cap()
 Q["l2_target_order"] = lambda q: f"select detection_id, row_number() over (order by priority desc, detection_id) as place from ({targets(q)}) t"
 Q["l4_argbest"] = lambda q: f"select scene_id, {q.argmax('detection_id', q.struct('wake_snr', 'detection_id'))} as strongest from contacts group by scene_id"
 Q["l5_listing"] = lambda q: "select s_name, row_number() over (order by lower(s_name), s_suppkey) as place from supplier"
