@@ -122,7 +122,7 @@ Q["w4_transitions"] = lambda q: "select user_id, event_id, event_type from (sele
 Q["w6_moving_average"] = lambda q: "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 3 preceding and 3 following), 6) as smooth from events"
 Q["w7_round_robin"] = lambda q: f"select o_orderkey, row_number() over (order by slot, kind, i) as sent from (select o_orderkey, kind, i, case when kind = 0 then {q.idiv('i', 3)} else i end as slot from (select o_orderkey, kind, row_number() over (partition by kind order by o_orderkey) - 1 as i from (select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0 else 1 end as kind from orders) a) b) c"
 Q["w8_transmit_time"] = lambda q: "select o_orderkey, round(sum(o_totalprice) over (order by o_orderkey rows unbounded preceding) / 52428800e0, 6) as seconds from orders"
-Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before, row_number() over (order by ts desc, event_id desc) as newest from events) t where (before is null or before <> event_type) and newest <= 100"
+Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, row_number() over (order by ts desc, event_id desc) as newest from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) e where before is null or before <> event_type) t where newest <= 100"
 Q["l1_candidate_cap"] = candidate_cap()
 Q["l2_target_order"] = lambda q: f"select detection_id, row_number() over (order by priority desc, detection_id) as place from ({targets(q)}) t"
 Q["l4_argbest"] = lambda q: f"select scene_id, {q.argmax('detection_id', q.struct('wake_snr', 'detection_id'))} as strongest from contacts group by scene_id"

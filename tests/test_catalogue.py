@@ -1,6 +1,8 @@
 """Catalogued queries against brute force that uses no SQL."""
 
 import collections
+import datetime
+import random
 
 import pytest
 
@@ -20,3 +22,18 @@ def test_candidate_cap(spark, profile, configured, cap):
     assert len(got) == len(want) and set(got) == want
     if (profile, configured) == ("FULL", 400):
         assert {r.detection_id for r in registry.QUERIES["l1_candidate_cap"](spark, DIR).collect()} == want
+
+
+@pytest.mark.parametrize("long_run", [0, 500])
+def test_stage_changes(spark, tmp_path, long_run):
+    rng, at = random.Random(5), datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(seconds=rng.randrange(400)), rng.randrange(9), rng.choice("abc")) for i in range(600)]
+    rows += [(1000 + i, at + datetime.timedelta(days=1, seconds=i), 3, "z") for i in range(long_run)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    stage, changes = {}, []
+    for i, ts, user, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        if stage.get(user) != kind:
+            changes.append((user, i, stage.get(user), kind))
+        stage[user] = kind
+    got = [tuple(r) for r in registry.QUERIES["w10_stage_changes"](spark, str(tmp_path)).collect()]
+    assert len(got) == 100 and sorted(got) == sorted(changes[-100:])
