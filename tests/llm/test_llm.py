@@ -188,3 +188,16 @@ def test_pages(spark):
     d = spark.createDataFrame([(1, "http://a/1", shell.format(1)), (2, "http://a/2", shell.format(2)), (3, None, None), (4, "http://b/", ""), (5, "x", "<div>plain <i>words</i></div><form>no</form>")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in pages.extract(d).collect()}
     assert got == {1: "One & two\nFirst1\nNext line", 2: "One & two\nFirst2\nNext line", 3: "", 4: "", 5: "plain words"}
+
+
+def test_pages_without_an_article(spark):
+    page = '<body><div class="top">Site</div>{}<div class="text"><p>Own <i>words</i> {}</p><p>Same in all</p></div><div class="end">Made by us</div>'
+    note = '<div class="box"><span>Read more</span></div>'
+    rows = [(i, "http://c/", page.format(note if i < 4 else "", f"of {i}")) for i in range(6)]
+    rows += [(10 + i, "http://d/", page.format(note, "once")) for i in range(5)]
+    rows += [(20, "http://e/", "<main> </main><p>Below <b>an</b> empty main</p>"), (21, "http://f/", "bare"), (22, "http://c/", "<article>Site<b>x</b></article><p>y")]
+    rows += [(30 + i, "http://g/", f"<article><p>One <b>bold</b> word</p><p>{i}</p></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # the template goes, an optional part of it too; the words that stand between them stay, in blocks of block elements alone
+    want = {i: f"of {i}" for i in range(6)} | {10 + i: "Site\nRead more\nOwn words once\nSame in all\nMade by us" for i in range(5)}
+    assert got == want | {20: "Below an empty main", 21: "bare", 22: "Sitex"} | {30 + i: f"One bold word\n{i}" for i in range(4)}
