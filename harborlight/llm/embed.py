@@ -1,6 +1,6 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document, with a softmax on top.
 
-Trained in numpy by stochastic gradient descent on a bounded, hash-chosen sample of labelled rows; every text is then scored whole.
+Trained in numpy by stochastic gradient descent on a bounded, hash-chosen sample of labelled rows, each whole; every text is then scored whole.
 As the output layer is linear, a trained model folds its vectors and its output weights into one table with a logit per bucket and
 class, so scoring gathers and averages logits of the features, with no matrix product.
 """
@@ -31,7 +31,6 @@ class Params:
     epochs: int = 5
     rate: float = 1.0
     per_class: int = 1000
-    chars: int = 1 << 14
     seed: int = 7
 
 
@@ -121,8 +120,18 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list, prior: dict, p: Params, alpha: float = 0.01) -> Model:
-    """Stochastic gradient descent, one document a step; a fifth of the rows is kept out to fit a temperature and the rejection level.
+def counted(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the whole text has, in ascending order, and how often: 2^bits at most."""
+    total = np.zeros(1 << p.bits, np.int64)
+    for part in pieces(text):
+        for b, ok, _ in buckets([part], p):
+            total += np.bincount(b[ok], minlength=len(total))
+    idx = np.flatnonzero(total)
+    return idx.astype(np.uint16 if p.bits <= 16 else np.int32), total[idx].astype(np.uint32)
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list, prior: dict, p: Params, alpha: float = 0.01) -> Model:
+    """Stochastic gradient descent, one document, counted(), a step; a fifth of the rows is kept out to fit a temperature and the rejection level.
 
     prior: rows of each class in the whole table; the sample is even over classes, so the logits are shifted back to these shares.
     The rejection level is the lowest top probability above which at most `alpha` of the kept-out rows are wrong.
@@ -131,10 +140,8 @@ def train(texts: list[str], labels: list, prior: dict, p: Params, alpha: float =
     y = np.array([classes.index(v) for v in labels])
     rng = np.random.default_rng(p.seed)
     rows = []
-    for t in texts:
-        got = np.concatenate([b[ok] for b, ok, _ in buckets([t[: p.chars]], p)])
-        idx, cnt = np.unique(got, return_counts=True)
-        rows.append((idx.astype(np.int32), (cnt / max(1, cnt.sum())).astype(np.float32)))
+    for idx, cnt in texts:
+        rows.append((idx, (cnt / max(1, cnt.sum(dtype=np.int64))).astype(np.float32)))
     order = rng.permutation(len(rows))
     held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
     vectors = ((rng.random((1 << p.bits, p.dim)) - 0.5) / p.dim).astype(np.float32)
@@ -172,8 +179,8 @@ def train(texts: list[str], labels: list, prior: dict, p: Params, alpha: float =
 def fit(rows: DataFrame, docs: DataFrame | None, p: Params) -> Model | None:
     """Learn from rows(doc_id, label[, text]); with docs, texts come from there. None if no labelled row has a text.
 
-    The sample is drawn by a hash of doc_id, about p.per_class rows of each class, so only these bounded rows leave the executors
-    and reruns draw the same; counts of the classes are over all rows.
+    The sample is drawn by a hash of doc_id, about p.per_class rows of each class, and reruns draw the same; counts of the classes are over all rows.
+    Whole texts are counted on the executors, and only the counts of the sample, 2^bits a row at most, leave them.
     """
     prior = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if not prior:
@@ -182,8 +189,16 @@ def fit(rows: DataFrame, docs: DataFrame | None, p: Params) -> Model | None:
     drawn = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("label")])
     if docs is not None:
         drawn = F.broadcast(drawn.dropDuplicates(["doc_id"])).join(documents(docs), "doc_id")  # at most about per_class rows of each class
-    got = sorted((r.doc_id, r.label, r.text) for r in drawn.select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, p.chars).alias("text")).collect())
-    return train([t for *_, t in got], [c for _, c, _ in got], prior, p) if got else None
+    arrow_limits(rows.sparkSession)
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [counted(t or "", p) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "label": b.column("label"), "idx": pa.array([i.tobytes() for i, _ in got], pa.binary()), "cnt": pa.array([c.tobytes() for _, c in got], pa.binary())})
+
+    found = map_batches(drawn.select("doc_id", "label", "text"), count, f"doc_id long, label {dict(drawn.dtypes)['label']}, idx binary, cnt binary")
+    got = sorted((r.doc_id, r.label, bytes(r.idx), bytes(r.cnt)) for r in found.collect())
+    kind = np.uint16 if p.bits <= 16 else np.int32
+    return train([(np.frombuffer(i, kind), np.frombuffer(c, np.uint32)) for *_, i, c in got], [c for _, c, *_ in got], prior, p) if got else None
 
 
 def score(df: DataFrame, model: Model, answer, schema: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import tiktoken  # noqa: F401
 from tokenizers import Tokenizer
 
-from harborlight.llm import ann, bpe, jaccard, langid, media, mixing, pages, quality, suffix, tokenstore
+from harborlight.llm import ann, bpe, embed, jaccard, langid, media, mixing, pages, quality, suffix, tokenstore
 from harborlight.llm.common import Tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, kept string, n long, component string"
@@ -201,3 +201,20 @@ def test_pages_without_an_article(spark):
     # the template goes, an optional part of it too; the words that stand between them stay, in blocks of block elements alone
     want = {i: f"of {i}" for i in range(6)} | {10 + i: "Site\nRead more\nOwn words once\nSame in all\nMade by us" for i in range(5)}
     assert got == want | {20: "Below an empty main", 21: "bare", 22: "Sitex"} | {30 + i: f"One bold word\n{i}" for i in range(4)}
+
+
+def test_training_reads_whole_texts(spark):
+    rng = random.Random(6)
+    words = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    start = words(5000, ["the", "and", "ing", "ter"])
+    assert len(start) > 1 << 14
+    rows = [(i, start + " " + words(4000, ["vorka", "pilum"] if i % 2 else ["zesty", "queb"]), "en" if i % 2 else "fr") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    for r in quality.score_quality(docs, quality.train_quality(docs, labels)).collect():
+        assert r.predicted == r.doc_id % 2
+    for r in langid.predict_language(docs, langid.train_language(docs)).collect():
+        assert r.lang_pred == ("en" if r.doc_id % 2 else "fr")
+    text, p = rows[0][1] * 12, embed.Params()  # of more than one piece
+    want = collections.Counter(x for part in embed.pieces(text) for b, ok, _ in embed.buckets([part], p) for x in b[ok].tolist())
+    assert len(text) > embed.PIECE and dict(zip(*(x.tolist() for x in embed.counted(text, p)))) == want
