@@ -47,11 +47,13 @@ class WordEncoder:
 
     A text is cut before each space that follows no white space: a match of the splitting pattern starts there in any case, so the
     ids of the parts, end to end, are the text's. Each distinct part is given to the library once and then found by a 64-bit hash.
+    Texts that hold one of the file's added tokens go through the library whole (encode_batch).
     """
 
     def __init__(self, path: str) -> None:
         tok = Tokenizer.from_file(path)
-        self.model, self.small = tok.model, tok.get_vocab_size() <= 1 << 16
+        self.tok, self.model, self.small = tok, tok.model, tok.get_vocab_size() <= 1 << 16
+        self.added = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(_byte_letters()))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.empty()
@@ -68,6 +70,18 @@ class WordEncoder:
             out += [t.id for t in self.model.tokenize(m.replace(" ", self.letters[32]) if plain else m.encode().decode("latin-1").translate(self.letters))]
         return out
 
+    def with_added(self, data: np.ndarray, starts: np.ndarray) -> list[int]:
+        """The texts that hold an added token, which the file takes out before the model sees a text."""
+        raw, rows = data.tobytes(), set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(starts, at, "right")) - 1
+                if at + len(content) <= starts[k + 1]:
+                    rows.add(k)
+                at = raw.find(content, at + 1)
+        return sorted(rows)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         got, todo, s = np.full(len(h), -1, np.int64), np.arange(len(h)), h & np.uint64(SLOTS - 1)
         while len(todo):
@@ -139,7 +153,15 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_batch(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, starts = text_bytes(column)
-    return encoder(path).encode(data, starts)
+    e = encoder(path)
+    ids, upto = e.encode(data, starts)
+    rows = e.with_added(data, starts)
+    if not rows:
+        return ids, upto
+    parts = [ids[a:b] for a, b in zip(upto[:-1], upto[1:])]
+    for k in rows:
+        parts[k] = np.array(e.tok.encode(data[starts[k] : starts[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def chunk_ends(ids: np.ndarray) -> np.ndarray:

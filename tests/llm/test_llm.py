@@ -218,3 +218,17 @@ def test_training_reads_whole_texts(spark):
     text, p = rows[0][1] * 12, embed.Params()  # of more than one piece
     want = collections.Counter(x for part in embed.pieces(text) for b, ok, _ in embed.buckets([part], p) for x in b[ok].tolist())
     assert len(text) > embed.PIECE and dict(zip(*(x.tolist() for x in embed.counted(text, p)))) == want
+
+
+def test_token_store_takes_added_tokens(spark):
+    path = public_tokenizers.path(tokenstore.VOCABULARY)
+    tok, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = ["plain words here", f"one{end}two", f"a  {end}  b", end, f"{end}{end} x\n", "cut <|endof", "text|> off", "", None, f"é{end}é " * 400, "<|<|endoftext|>|>"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in tokenstore.digests_of_documents(*tokenstore.write_store(d, path, Tables(spark, "t"))).collect())
+    at, want = 0, []
+    for i, t in enumerate(texts):
+        x = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(x), zlib.crc32(x.tobytes())))
+        at += len(x)
+    assert got == want and tok.token_to_id(end) in tok.encode(texts[1], add_special_tokens=False).ids
