@@ -58,7 +58,7 @@ Q["j7_site_probe"] = lambda q: f"select site, count(*) as fixes, count(distinct
 Q["j8_nearest_fleet"] = lambda q: f"select detection_id, fleet, round(nm, 6) as nm from (select d.detection_id, fl.fleet, {q.haversine_nm('d.latitude', 'd.longitude', 'fl.latitude', 'fl.longitude')} as nm, row_number() over (partition by d.detection_id order by {q.haversine_nm('d.latitude', 'd.longitude', 'fl.latitude', 'fl.longitude')}, fl.pos) as pick from contacts d cross join {_FLEETS}) t where pick = 1"
 _NEAR = "select d.detection_id, f.pos, {d} as m, f.radius_m * 20 as gate from contacts d left join structures f on f.scene_id = d.scene_id"
 Q["j9_rf_association"] = lambda q: f"select detection_id, coalesce({q.pick('bool_or(m <= gate)', 'bool_or(m <= gate)')}, false) as retained, {q.argmin('pos', 'm')} as emitter from ({_NEAR.format(d=q.haversine_m('d.latitude', 'd.longitude', 'f.latitude', 'f.longitude'))}) t group by detection_id"
-Q["j13_suppression"] = lambda q: f"select d.detection_id from contacts d where exists (select 1 from structures s where s.scene_id = d.scene_id and s.pos % 2 = 0 and {q.haversine_nm('d.latitude', 'd.longitude', 's.latitude', 's.longitude')} <= 0.08e0) and not exists (select 1 from catalog c where c.scene_id = d.scene_id and {q.haversine_nm('d.latitude', 'd.longitude', 'c.plat', 'c.plon')} <= 0.08e0)"
+Q["j13_suppression"] = lambda q: f"select d.detection_id from contacts d where exists (select 1 from structures s where s.scene_id = d.scene_id and {q.haversine_nm('d.latitude', 'd.longitude', 's.latitude', 's.longitude')} <= 0.08e0) and not exists (select 1 from catalog c where c.scene_id = d.scene_id and {q.haversine_nm('d.latitude', 'd.longitude', 'c.plat', 'c.plon')} <= 0.08e0)"
 Q["j14_first_record"] = lambda q: "select mmsi, event_id, round(latitude, 6) as latitude from (select *, row_number() over (partition by mmsi order by event_id) as pick from fixes) t where pick = 1"
 Q["j15_scene_attributes"] = lambda q: "select d.detection_id, s.gsd_m, s.cloud_pct from contacts d join scenes s on s.scene_id = d.scene_id"
 Q["j16_verdicts"] = lambda q: f"select t.detection_id, case when t.mmsi is not null then 'vessel' when l.quality = 1 and l.toxic = 0 then 'vessel' when l.quality = 0 then 'not_vessel' when l.toxic = 1 then 'structure' else 'unsure' end as verdict from ({targets(q)}) t join contacts d on d.detection_id = t.detection_id left join labels l on l.doc_id = d.contact_key"
@@ -170,7 +170,7 @@ Q["d15_percent"] = lambda q: "select scene_id, round(100e0 * sum(case when wake_
 Q["y7_grid_search"] = lambda q: f"select {q.argmax('a', q.struct('got', '-a', '-b'))} as a, {q.argmax('b', q.struct('got', '-a', '-b'))} as b, max(got) as got from (select a, b, sum(case when ice and neighbours >= a and peak_z >= b then 1 else 0 end) as got, sum(case when not ice and neighbours >= a and peak_z >= b then 1e0 else 0e0 end) / sum(case when ice then 0e0 else 1e0 end) as lost from (select neighbours, peak_z, contact_key % 4 = 0 as ice from contacts) c cross join (values (1), (3), (5), (7), (8)) as g(a) cross join (values (0), (8), (16), (24), (28)) as h(b) group by a, b) t where lost <= 0.02e0"
 Q["y8_threshold_sweep"] = lambda q: "select k, sum(case when neighbours >= k and wake_length_m = 0 then 1 else 0 end) as demoted, sum(case when neighbours >= k and wake_length_m > 0 then 1 else 0 end) as kept from contacts cross join (values (1), (2), (3), (4), (5)) as v(k) group by k"
 Q["y9_grouping_sets"] = lambda q: "select target_type, scene_id, count(*) as n, round(avg(case when physics_score >= 0.8e0 then 1e0 else 0e0 end), 6) as pass_fraction from contacts group by grouping sets ((), (target_type), (scene_id))"
-Q["y16_scene_acceptance"] = lambda q: "select user_id % 25 as aoi, event_id from (select event_id, user_id, row_number() over (partition by user_id % 25 order by coalesce(value, 100), event_id) as k from events where value <= 60 and event_id % 7 <> 0) t where k = 1"
+Q["y16_scene_acceptance"] = lambda q: "select user_id % 25 as aoi, event_id from (select event_id, user_id, row_number() over (partition by user_id % 25 order by coalesce(value, 100), event_id) as k from events where value <= 60) t where k = 1"
 Q["y20_cue_tables"] = lambda q: "select knots, offnadir, round(500 * tan(radians(offnadir)) / (knots * 1.852e0) * 60, 6) as minutes from (values (5e0), (10e0), (15e0)) as a(knots) cross join (values (5e0), (15e0), (30e0)) as b(offnadir)"
 Q["t6_broadcast_density"] = lambda q: f"select {q.pick('cast(window.start as date)', 'cast(ts as date)')} as day, count(*) as n from events group by " + q.pick("window(cast(ts as timestamp), '1 day')", "1")
 Q["f35_dates"] = lambda q: "select o_orderkey, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as ymd from orders"

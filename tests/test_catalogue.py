@@ -2,10 +2,13 @@
 
 import collections
 import datetime
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from harborlight.operators import memory
 from harborlight.plans import catalogue, registry
 from harborlight.plans.dialect import frame, spark_query
 
@@ -37,3 +40,35 @@ def test_stage_changes(spark, tmp_path, long_run):
         stage[user] = kind
     got = [tuple(r) for r in registry.QUERIES["w10_stage_changes"](spark, str(tmp_path)).collect()]
     assert len(got) == 100 and sorted(got) == sorted(changes[-100:])
+
+
+def _near(a, b):
+    h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 3440.065 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) <= 0.08
+
+
+def test_suppression_by_every_structure(spark):
+    sf = DIR.replace("sf0.1", "sf0.01")
+    contacts = frame(spark, sf, "select scene_id, detection_id, latitude, longitude from contacts")
+    regions = frame(spark, sf, "select scene_id, pos, latitude, longitude, true as suppressed from structures")
+    ships = frame(spark, sf, "select scene_id, plat as latitude, plon as longitude from catalog")
+    held, safe = collections.defaultdict(list), collections.defaultdict(list)
+    for r in regions.collect():
+        held[r.scene_id].append((r.latitude, r.longitude))
+    for r in ships.collect():
+        safe[r.scene_id].append((r.latitude, r.longitude))
+    want = sorted(r.detection_id for r in contacts.collect() if any(_near((r.latitude, r.longitude), s) for s in held[r.scene_id]) and not any(_near((r.latitude, r.longitude), s) for s in safe[r.scene_id]))
+    assert sorted(r.detection_id for r in registry.QUERIES["j13_suppression"](spark, sf).collect()) == want
+    assert sorted(r.detection_id for r in memory.suppress(contacts, regions, ships, "scene_id", "detection_id").collect()) == want
+    assert memory.suppress(contacts, regions.withColumn("suppressed", F.lit(False)), ships, "scene_id", "detection_id").count() == 0
+
+
+def test_scene_acceptance_leaves_no_event_out(spark, tmp_path):
+    rows = [(i, i % 50, None if i % 11 == 0 else float(i * 37 % 90)) for i in range(1, 400)] + [(700, 3, 0.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    best = {}
+    for i, user, v in rows:
+        if v is not None and v <= 60:
+            best[user % 25] = min(best.get(user % 25, (99.0, 0)), (v, i))
+    assert best[3] == (0.0, 700)
+    assert {(r.aoi, r.event_id) for r in registry.QUERIES["y16_scene_acceptance"](spark, str(tmp_path)).collect()} == {(a, i) for a, (_, i) in best.items()}
