@@ -110,6 +110,7 @@ def search(vectors: DataFrame, is_query, p: Params = Params()) -> tuple[DataFram
     Scores are sums of products of the original components in double precision, in component order by numpy's pairwise sum; ties go
     to the smaller vec_id. Vectors null, zero or with null or non-finite components, or of another length than the most frequent
     one, take no part; repeated rows of an id are candidates once each. An empty table gives no rows. Other columns play no part.
+    In a scanned list every candidate is scored whose estimate, with the error of its code, reaches the k-th score found so far.
     Lists are scanned in blocks by hash of vec_id, so a list, however many equal vectors it holds, is no single task.
     """
     spark = vectors.sparkSession
@@ -166,6 +167,10 @@ def search(vectors: DataFrame, is_query, p: Params = Params()) -> tuple[DataFram
             ids = left.column("vec_id").to_numpy()
             base = np.frombuffer(b"".join(left.column("vec").to_pylist()), float).reshape(len(ids), d)
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            centre = ix.centroids[left.column("list")[0].as_py()].astype(float)
+            coded = np.concatenate([ix.books[m, code[:, m], : ix.edges[m + 1] - ix.edges[m]] for m in range(len(ix.books))], axis=1)
+            # a product differs from its estimate by the query's length times this at most, and by float rounding
+            error = np.sqrt(((base - centre - coded) ** 2).sum(axis=1)) + 1e-5 * np.sqrt((base**2).sum(axis=1).max())
             asks = right.column("vec_id").to_numpy()
             q = np.frombuffer(b"".join(right.column("vec").to_pylist()), float).reshape(len(asks), d)
             for at in range(0, len(asks), 64):
@@ -178,6 +183,13 @@ def search(vectors: DataFrame, is_query, p: Params = Params()) -> tuple[DataFram
                 for j in range(len(part)):
                     some = best[j][ids[best[j]] != asks[at + j]]
                     score = (base[some] * q[at + j]).sum(axis=1)
+                    if len(ids) > p.depth + 1 and len(some) >= p.k:
+                        least = np.partition(score, len(score) - p.k)[len(score) - p.k]
+                        may = guess[j] + centre @ q[at + j] + error * np.sqrt(q[at + j] @ q[at + j]) >= least
+                        may[best[j]] = False
+                        may &= ids != asks[at + j]
+                        more = np.flatnonzero(may)
+                        some, score = np.concatenate([some, more]), np.concatenate([score, (base[more] * q[at + j]).sum(axis=1)])
                     top = np.lexsort((ids[some], -score))[: p.k]
                     out[0].append(np.full(len(top), asks[at + j]))
                     out[1].append(ids[some][top])

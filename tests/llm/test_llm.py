@@ -232,3 +232,20 @@ def test_token_store_takes_added_tokens(spark):
         want.append((i, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert got == want and tok.token_to_id(end) in tok.encode(texts[1], add_special_tokens=False).ids
+
+
+def test_neighbours_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x[300:700] = x[300] + rng.normal(size=(400, 64)) * 1e-4
+    x = x.astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(d, lambda i: (i >= 300) & (i < 700) & (i % 20 == 0))[0].collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(300, 700, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.98 * 20 * 20, hits
