@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Tables, arrow_limits, documents, map_batches, mix64, text_bytes, total_bytes
+from .common import _BYTE, Tables, arrow_limits, by_part, documents, map_batches, mix64, spread_join, text_bytes, total_bytes
 from .graph import components
 from .packed import exchange, parts_for, repeated, unpack
 
@@ -23,8 +23,10 @@ _LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: The first pass looks at shingles of one in this many classes of their hashes.
 CLASSES = 4
-#: Star rounds end when the pairs left are at most this many times the rows of the index.
-REST, ROUNDS = 4, 4
+#: Documents about whose counts one row of a part carries.
+BUCKET = 1 << 15
+#: Star rounds end when the pairs left are at most this many times the rows of the index; a round has at most so many centres an entry.
+REST, CENTRES = 4, 8
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +82,27 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n long")
 
 
-def _lone(table: pa.Table) -> pa.Table:
-    """How many hashes of each document no other one has, in one part."""
-    ids, h, marks = unpack(table.column("data").to_pylist())
-    lone = ids[~repeated(h) & (marks == 0)]
-    got, count = np.unique(lone, return_counts=True)
-    return pa.table({"doc_id": pa.array(got, pa.int64()), "lone": pa.array(count, pa.int64())})
+def lone_counts(sent: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, lone): how many hashes of each document no other one has, from an exchange.
+
+    A part sends one packed row a bucket of documents, not one a document, so rows follow parts and buckets.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, h, marks = unpack(table.column("data").to_pylist())
+        got, count = np.unique(ids[~repeated(h) & (marks == 0)], return_counts=True)
+        order, at = by_part((mix64(got.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
+        got, count = got[order], count[order].astype(np.uint32)
+        rows = np.flatnonzero(np.diff(at)).tolist()
+        return pa.table({"bucket": pa.array(rows, pa.int32()), "data": pa.array([got[at[k] : at[k + 1]].tobytes() + count[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        data = table.column("data").to_pylist()
+        ids, place = np.unique(np.concatenate([np.frombuffer(d, np.int64, len(d) // 12) for d in data]), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(d, np.uint32, len(d) // 12, len(d) // 12 * 8) for d in data])
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lone": pa.array(np.bincount(place, counts, len(ids)).astype(np.int64))})
+
+    return sent.groupBy("part").applyInArrow(pack, "bucket int, data binary").groupBy("bucket").applyInArrow(total, "doc_id long, lone long")
 
 
 def join_sets(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,7 +115,7 @@ def join_sets(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[Da
     """
     docs = docs.where("doc_id IS NOT NULL")
     sizes = tables.write(set_sizes(docs, n), "sizes")
-    _, size = total_bytes(docs)
+    rows, size = total_bytes(docs)
 
     def sample(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, h = shingle_sets(data, starts, n)
@@ -106,7 +123,7 @@ def join_sets(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[Da
         return row[pick], h[pick]
 
     sent = exchange(docs, sample, parts_for(size // (6 * CLASSES)), False)
-    lone = sent.groupBy("part").applyInArrow(_lone, "doc_id long, lone long").groupBy("doc_id").agg(F.sum("lone").alias("lone"))
+    lone = lone_counts(sent, max(8, rows // BUCKET))
     alive = tables.write(sizes.where("n > 0").join(lone, "doc_id", "left").where(f"100 * (n - coalesce(lone, 0)) >= {percent} * n").select("doc_id").distinct(), "alive")
 
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,8 +142,9 @@ def join_sets(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[Da
 
     need = lambda size: F.ceil(size * percent / 100)
     index = reps.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    found = index.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    often = tables.write(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    shared = often.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    found = spread_join(index, often, "token", "df", shared).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     found = found.where(F.size("list") * 100 >= F.col("n") * percent).withColumn("reach", (F.size("list") - need(F.col("n")) + 1).cast("int"))
     hashed = lambda salt: F.slice(F.array_sort(F.transform("list", lambda x: F.struct(F.xxhash64(x["token"], F.lit(salt)).alias("h"), x["token"].alias("token")))), 1, F.col("reach"))["token"]
     found = found.select("rep", "n", (F.size("list") / F.col("n")).alias("known"), F.col("list")["token"].alias("tokens"), F.slice("list", 1, F.col("reach"))["token"].alias("p1"), hashed(1).alias("p2"), hashed(2).alias("p3"))
@@ -153,8 +171,9 @@ def _pair(x: Column, y: Column) -> list[Column]:
 def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Links enough to give every component that all links give.
 
-    A pair in one component already needs no test, so each round tests the pairs of one centre in each index entry, which is as many
-    as the index has rows at most, and joins what it finds; at last every pair in an entry between different components is tested.
+    A pair in one component already needs no test. Each round tests the pairs of a few centres in each index entry that still has
+    several components; these centres then leave the entry, as no pair of theirs is untested, so every round leaves fewer pairs. A
+    round's pairs are bounded by the rows of the index. When those left are as few, they are tested at once.
     """
     # the first shared shingle stands where both sets still have, from there on, as many shingles as they must share
     fits = lambda n, m, x, y: F.least(x, y) * (100 + percent) >= (n + m) * percent
@@ -162,24 +181,34 @@ def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) ->
     links, labelled, k = None, index.withColumn("label", F.col("rep")), 0
     while True:
         by = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main")).where("c * c > s")
-        rest = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0))).first()[0]
-        if k and (rest <= REST * entries or k == ROUNDS):
+        by = tables.write(by, f"open-{k}")
+        rest, rows = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        pool = spread_join(labelled, by.select("token", "main", "c"), "token", "c", entries).drop("c")
+        if rest <= REST * entries and (k or not rest):
             break
-        # round 0: the document that shares most of its shingles; later ones: one outside the entry's largest component
-        best = F.struct(F.col("known"), -F.col("rep")) if k == 0 else F.struct(F.xxhash64("rep", F.lit(k)).cast("double").alias("known"), -F.col("rep"))
-        pool = labelled.join(by.select("token", "main"), "token")
-        centre = (pool if k == 0 else pool.where("label <> main")).groupBy("token").agg(F.max(F.struct(best.alias("best"), F.col("rep"), F.col("n"), F.col("left"), F.col("label"))).alias("m")).select("token", F.col("m.rep").alias("centre"), F.col("m.n").alias("n_centre"), F.col("m.left").alias("left_centre"), F.col("m.label").alias("l_centre"))
-        pairs = labelled.join(centre, "token").where((F.col("label") != F.col("l_centre")) & fits(F.col("n"), F.col("n_centre"), F.col("left"), F.col("left_centre"))).select(*_pair(F.col("rep"), F.col("centre"))).distinct()
+        pool = tables.write(pool, f"pool-{k}")
+        # round 0: the document that shares most of its shingles; later ones: some outside the entry's largest component
+        many = 1 if k == 0 else int(max(1, min(CENTRES, REST * entries // rows)))
+        ranks = [F.struct(F.col("known"), -F.col("rep"))] if k == 0 else [F.struct(F.xxhash64("rep", F.lit(k), F.lit(j)).cast("double").alias("known"), -F.col("rep")) for j in range(many)]
+        best = [F.max(F.struct(r.alias("best"), F.struct("rep", "n", "left", "label").alias("m")))["m"] for r in ranks]
+        centres = (pool if k == 0 else pool.where("label <> main")).groupBy("token").agg(F.array_distinct(F.array(*best)).alias("centres"))
+        met = spread_join(pool, centres.join(by.select("token", "c"), "token"), "token", "c", entries).drop("c")
+        met = tables.write(met, f"met-{k}")
+        pairs = met.select("rep", "n", "left", "label", F.explode("centres").alias("o")).where((F.col("label") != F.col("o.label")) & fits(F.col("n"), F.col("o.n"), F.col("left"), F.col("o.left"))).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
         new = tables.write(_verify(pairs, found, percent), f"links-{k}")
+        labelled = met.where(~F.array_contains(F.transform("centres", lambda o: o["rep"]), F.col("rep"))).select("rep", "n", "known", "left", "token", "label")
         k += 1
-        if not new.limit(1).count():
-            break
-        links = new if links is None else links.union(new)
-        parts = components(links, tables, f"round-{k}")
-        labelled = tables.write(index.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "rep").alias("label")), f"labelled-{k}")
-    open_ = labelled.join(by.select("token"), "token").select("token", "rep", "n", "left", "label")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        if new.limit(1).count():
+            links = new if links is None else links.union(new)
+            parts = components(links, tables, f"round-{k}")
+            labelled = labelled.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "label").alias("label"))
+        labelled = tables.write(labelled, f"labelled-{k}")
+        tables.drop(f"pool-{k - 1}", f"met-{k - 1}", *([f"labelled-{k - 1}"] if k > 1 else []))
+    # each member meets the entry's members outside its largest component: at most four times the pairs left
+    open_ = tables.write(pool.select("token", "rep", "n", "left", "label", "main"), "rest")
+    lists = open_.where("label <> main").groupBy("token").agg(F.collect_list(F.struct("rep", "n", "left", "label")).alias("others")).join(by.select("token", "c"), "token")
+    both = spread_join(open_, lists, "token", "c", entries).select("rep", "n", "left", "label", F.explode("others").alias("o"))
+    pairs = both.where((F.col("label") != F.col("o.label")) & fits(F.col("n"), F.col("o.n"), F.col("left"), F.col("o.left"))).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
     new = tables.write(_verify(pairs, found, percent), "links-rest")
     return new if links is None else links.union(new)
 

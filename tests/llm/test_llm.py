@@ -12,7 +12,7 @@ import pytest
 import tiktoken  # noqa: F401
 from tokenizers import Tokenizer
 
-from harborlight.llm import ann, bpe, embed, jaccard, langid, media, mixing, pages, quality, suffix, tokenstore
+from harborlight.llm import ann, bpe, common, embed, jaccard, langid, media, mixing, pages, quality, suffix, tokenstore
 from harborlight.llm.common import Tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, kept string, n long, component string"
@@ -48,7 +48,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_jaccard(docs, rows, empty):
+@pytest.mark.parametrize("rest, shares", [(jaccard.REST, common.SHARES), (0, 5)])  # with 0 every pair goes through rounds
+def test_jaccard(docs, rows, empty, monkeypatch, rest, shares):
+    monkeypatch.setattr(jaccard, "REST", rest)
+    monkeypatch.setattr(common, "SHARES", shares)
     sets = {}
     for i, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
