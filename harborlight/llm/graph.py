@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, spread_join
+from .common import Tables
 
 
 def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, component) of every node of links(a, b); component is the smallest node that can be reached.
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest it knows; rounds end when no edge
-    leads on, after about the logarithm of the longest path. Each round's edges are a table in the shared folder.
+    leads on, after about the logarithm of the longest path. Each round's edges are a table in the shared folder. The edges of a hub,
+    16 bytes each, are split by AQE's skew join once they are over its threshold, as each join has one row a node on its right.
     """
     edges = tables.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     k = 0
     while True:
-        rows = edges.count()
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = spread_join(both, least, "u", "c", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = spread_join(large, least, "u", "c", rows)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         k += 1
         edges = tables.write(small, f"{name}-{k}")

@@ -176,39 +176,36 @@ def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) ->
     round's pairs are bounded by the rows of the index. When those left are as few, they are tested at once.
     """
     # the first shared shingle stands where both sets still have, from there on, as many shingles as they must share
-    fits = lambda n, m, x, y: F.least(x, y) * (100 + percent) >= (n + m) * percent
+    fits = lambda o: (F.col("label") != o["label"]) & (F.least("left", o["left"]) * (100 + percent) >= (F.col("n") + o["n"]) * percent)
+    meet = lambda df, others: df.select("rep", "n", "left", "label", others).select("rep", F.explode(F.filter(others, fits)["rep"]).alias("o")).select(*_pair(F.col("rep"), F.col("o"))).distinct()
+    me = F.struct("rep", "n", "left", "label")
     entries = index.count()
-    links, labelled, k = None, index.withColumn("label", F.col("rep")), 0
+    links, labelled, k, many = None, index.withColumn("label", F.col("rep")), 0, 1
     while True:
-        by = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main")).where("c * c > s")
-        by = tables.write(by, f"open-{k}")
+        # round 0: the document that shares most of its shingles; later ones: one of the entry's smallest component, and some of any
+        rank = F.struct(F.col("known") if k == 0 else F.xxhash64("rep", F.lit(k)).cast("double"), -F.col("rep"))
+        by = labelled.groupBy("token", "label").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), me.alias("m"))).alias("best"))
+        first = F.max("best") if k == 0 else F.min(F.struct("c", "label", "best"))["best"]
+        more = [F.max(F.struct(F.xxhash64("label", F.lit(k), F.lit(j)), "best"))["best"] for j in range(1, many)]
+        by = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main"), F.array_distinct(F.array(*[x["m"] for x in (first, *more)])).alias("centres"))
+        by = tables.write(by.where("c * c > s"), f"open-{k}")
         rest, rows = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        pool = spread_join(labelled, by.select("token", "main", "c"), "token", "c", entries).drop("c")
         if rest <= REST * entries and (k or not rest):
             break
-        pool = tables.write(pool, f"pool-{k}")
-        # round 0: the document that shares most of its shingles; later ones: some outside the entry's largest component
-        many = 1 if k == 0 else int(max(1, min(CENTRES, REST * entries // rows)))
-        ranks = [F.struct(F.col("known"), -F.col("rep"))] if k == 0 else [F.struct(F.xxhash64("rep", F.lit(k), F.lit(j)).cast("double").alias("known"), -F.col("rep")) for j in range(many)]
-        best = [F.max(F.struct(r.alias("best"), F.struct("rep", "n", "left", "label").alias("m")))["m"] for r in ranks]
-        centres = (pool if k == 0 else pool.where("label <> main")).groupBy("token").agg(F.array_distinct(F.array(*best)).alias("centres"))
-        met = spread_join(pool, centres.join(by.select("token", "c"), "token"), "token", "c", entries).drop("c")
-        met = tables.write(met, f"met-{k}")
-        pairs = met.select("rep", "n", "left", "label", F.explode("centres").alias("o")).where((F.col("label") != F.col("o.label")) & fits(F.col("n"), F.col("o.n"), F.col("left"), F.col("o.left"))).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
-        new = tables.write(_verify(pairs, found, percent), f"links-{k}")
-        labelled = met.where(~F.array_contains(F.transform("centres", lambda o: o["rep"]), F.col("rep"))).select("rep", "n", "known", "left", "token", "label")
+        met = tables.write(spread_join(labelled, by.select("token", "c", "centres"), "token", "c", entries).drop("c"), f"met-{k}")
+        new = tables.write(_verify(meet(met, "centres"), found, percent), f"links-{k}")
+        labelled = met.where(~F.array_contains(met["centres"]["rep"], F.col("rep"))).drop("centres")
         k += 1
+        many = int(max(1, min(CENTRES, REST * entries // rows)))
         if new.limit(1).count():
             links = new if links is None else links.union(new)
             parts = components(links, tables, f"round-{k}")
             labelled = labelled.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "label").alias("label"))
-        labelled = tables.write(labelled, f"labelled-{k}")
-        tables.drop(f"pool-{k - 1}", f"met-{k - 1}", *([f"labelled-{k - 1}"] if k > 1 else []))
+            labelled = tables.write(labelled, f"labelled-{k}")
     # each member meets the entry's members outside its largest component: at most four times the pairs left
-    open_ = tables.write(pool.select("token", "rep", "n", "left", "label", "main"), "rest")
-    lists = open_.where("label <> main").groupBy("token").agg(F.collect_list(F.struct("rep", "n", "left", "label")).alias("others")).join(by.select("token", "c"), "token")
-    both = spread_join(open_, lists, "token", "c", entries).select("rep", "n", "left", "label", F.explode("others").alias("o"))
-    pairs = both.where((F.col("label") != F.col("o.label")) & fits(F.col("n"), F.col("o.n"), F.col("left"), F.col("o.left"))).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
+    open_ = tables.write(spread_join(labelled, by.select("token", "main", "c"), "token", "c", entries), "rest")
+    others = open_.where("label <> main").groupBy("token").agg(F.collect_list(me).alias("others")).join(by.select("token", "c"), "token")
+    pairs = meet(spread_join(open_.drop("c", "main"), others, "token", "c", entries), "others")
     new = tables.write(_verify(pairs, found, percent), "links-rest")
     return new if links is None else links.union(new)
 
