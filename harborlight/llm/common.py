@@ -93,13 +93,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row a key and in `count` the rows that left has of it; `total` are all rows of left.
+    """left joined to right, whose rows say in `count` how many rows left has of their key; `total` are all rows of left.
 
-    A key with over a SHARES-th of all rows has its right row once for each such share, and its left rows dealt over these copies, so
+    A key with over a SHARES-th of all rows has its right rows once for each such share, and its left rows dealt over these copies, so
     no task gets one key whole. Fewer than SHARES keys are as large, so what is broadcast is bounded whatever the input.
     """
     share = max(1, total // SHARES)
-    hot = F.broadcast(right.where(F.col(count) > share).select(key, F.ceil(F.col(count) / share).cast("int").alias("copies_")))
+    hot = F.broadcast(right.where(F.col(count) > share).select(key, F.ceil(F.col(count) / share).cast("int").alias("copies_")).distinct())
     dealt = left.join(hot, key, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), "copies_").cast("int"), F.lit(0))).drop("copies_")
     copied = right.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("copies_", F.lit(1)) - 1))).drop("copies_")
     return dealt.join(copied, [key, "salt_"], how).drop("salt_")

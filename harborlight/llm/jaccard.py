@@ -25,8 +25,8 @@ _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 CLASSES = 4
 #: Documents about whose counts one row of a part carries.
 BUCKET = 1 << 15
-#: Star rounds end when the pairs left are at most this many times the rows of the index; a round has at most so many centres an entry.
-REST, CENTRES = 4, 8
+#: Star rounds, and the pairs that a block of those left may have for each row of the index: comparisons of two numbers each.
+STARS, REST = 2, 256
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,43 +171,37 @@ def _pair(x: Column, y: Column) -> list[Column]:
 def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Links enough to give every component that all links give.
 
-    A pair in one component already needs no test. Each round tests the pairs of a few centres in each index entry that still has
-    several components; these centres then leave the entry, as no pair of theirs is untested, so every round leaves fewer pairs. A
-    round's pairs are bounded by the rows of the index. When those left are as few, they are tested at once.
+    A pair in one component already needs no test, so each star round tests the pairs of one centre in each index entry, which is as
+    many as the index has rows at most, and joins what it finds. Then every pair in an entry between different components is tested:
+    each member meets the members outside the entry's largest component, in as many blocks of these as keep a block's pairs bounded
+    by the rows of the index.
     """
     # the first shared shingle stands where both sets still have, from there on, as many shingles as they must share
-    fits = lambda o: (F.col("label") != o["label"]) & (F.least("left", o["left"]) * (100 + percent) >= (F.col("n") + o["n"]) * percent)
-    meet = lambda df, others: df.select("rep", "n", "left", "label", others).select("rep", F.explode(F.filter(others, fits)["rep"]).alias("o")).select(*_pair(F.col("rep"), F.col("o"))).distinct()
+    fits = (F.col("label") != F.col("o.label")) & (F.least("left", "o.left") * (100 + percent) >= (F.col("n") + F.col("o.n")) * percent)
+    meet = lambda x, y: spread_join(x, y, "token", "c", entries).where(fits).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
     me = F.struct("rep", "n", "left", "label")
     entries = index.count()
-    links, labelled, k, many = None, index.withColumn("label", F.col("rep")), 0, 1
-    while True:
-        # round 0: the document that shares most of its shingles; later ones: one of the entry's smallest component, and some of any
+    links, labelled = None, index.withColumn("label", F.col("rep"))
+    for k in range(STARS + 1):
+        # round 0: the document that shares most of its shingles; later ones: one of the entry's smallest component
         rank = F.struct(F.col("known") if k == 0 else F.xxhash64("rep", F.lit(k)).cast("double"), -F.col("rep"))
         by = labelled.groupBy("token", "label").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), me.alias("m"))).alias("best"))
         first = F.max("best") if k == 0 else F.min(F.struct("c", "label", "best"))["best"]
-        more = [F.max(F.struct(F.xxhash64("label", F.lit(k), F.lit(j)), "best"))["best"] for j in range(1, many)]
-        by = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main"), F.array_distinct(F.array(*[x["m"] for x in (first, *more)])).alias("centres"))
+        by = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main"), first["m"].alias("o"))
         by = tables.write(by.where("c * c > s"), f"open-{k}")
-        rest, rows = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        if rest <= REST * entries and (k or not rest):
+        if k == STARS:
             break
-        met = tables.write(spread_join(labelled, by.select("token", "c", "centres"), "token", "c", entries).drop("c"), f"met-{k}")
-        new = tables.write(_verify(meet(met, "centres"), found, percent), f"links-{k}")
-        labelled = met.where(~F.array_contains(met["centres"]["rep"], F.col("rep"))).drop("centres")
-        k += 1
-        many = int(max(1, min(CENTRES, REST * entries // rows)))
-        if new.limit(1).count():
-            links = new if links is None else links.union(new)
-            parts = components(links, tables, f"round-{k}")
-            labelled = labelled.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "label").alias("label"))
-            labelled = tables.write(labelled, f"labelled-{k}")
-    # each member meets the entry's members outside its largest component: at most four times the pairs left
+        new = tables.write(_verify(meet(labelled, by.select("token", "c", "o")), found, percent), f"links-{k}")
+        links = new if links is None else links.union(new)
+        parts = components(links, tables, f"round-{k}")
+        labelled = tables.write(index.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "rep").alias("label")), f"labelled-{k}")
+    rest = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0))).first()[0]
+    blocks = int(rest // max(1, REST * entries)) + 1
     open_ = tables.write(spread_join(labelled, by.select("token", "main", "c"), "token", "c", entries), "rest")
-    others = open_.where("label <> main").groupBy("token").agg(F.collect_list(me).alias("others")).join(by.select("token", "c"), "token")
-    pairs = meet(spread_join(open_.drop("c", "main"), others, "token", "c", entries), "others")
-    new = tables.write(_verify(pairs, found, percent), "links-rest")
-    return new if links is None else links.union(new)
+    for k in range(blocks):
+        others = open_.where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)) == k)).select("token", "c", me.alias("o"))
+        links = links.union(tables.write(_verify(meet(open_.drop("c", "main"), others), found, percent), f"links-rest-{k}"))
+    return links
 
 
 def link(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, Tables]:

@@ -48,7 +48,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("rest, shares", [(jaccard.REST, common.SHARES), (0, 5)])  # with 0 every pair goes through rounds
+@pytest.mark.parametrize("rest, shares", [(jaccard.REST, common.SHARES), (0.2, 5)])  # few pairs a block, and keys dealt over tasks
 def test_jaccard(docs, rows, empty, monkeypatch, rest, shares):
     monkeypatch.setattr(jaccard, "REST", rest)
     monkeypatch.setattr(common, "SHARES", shares)
