@@ -80,7 +80,7 @@ Q["p11_time_window"] = lambda q: "select event_id from events where ts >= timest
 Q["p12_bbox"] = lambda q: "select f.event_id, s.scene_id from fixes f join scenes s on s.scene_id = f.scene_id where f.latitude between s.center_lat - 0.05e0 and s.center_lat + 0.05e0 and f.longitude between s.center_lon - 0.05e0 / greatest(cos(radians(s.center_lat)), 0.05e0) and s.center_lon + 0.05e0 / greatest(cos(radians(s.center_lat)), 0.05e0)"
 Q["p13_label_hygiene"] = lambda q: "select conv_id, turn, role from conversations where role not like '\\_\\_%' escape '\\' and trim(role) <> '' and trim(text) <> ''" if not q.spark else "select conv_id, turn, role from conversations where not startswith(role, '__') and trim(role) <> '' and trim(text) <> ''"
 _NAME = "concat('alert-v1__', detection_id, '__', scene_id, '__lat-', {f}latitude), '__lon-', {f}longitude), '__DARK_VESSEL.jpg')"
-_ALERT = "^alert-v1__(.+?)__(.+?)__lat-(-?[0-9.]+)__lon-(-?[0-9.]+)__([A-Z_]+)[.]jpg$"
+_ALERT = "^alert-v1__([A-Za-z0-9_-]+)__([A-Za-z0-9_-]+)__lat-(-?[0-9]+(?:[.][0-9]+)?)__lon-(-?[0-9]+(?:[.][0-9]+)?)__DARK_VESSEL[.]jpg$"
 _alert = lambda q: f"select {_NAME.format(f=q.pick('format_string(\"%.6f\", ', 'format(chr(123) || chr(58) || chr(46) || chr(54) || chr(102) || chr(125), '))} as filename from contacts"
 Q["p14_alert_parse"] = lambda q: f"select {q.group('filename', _ALERT, 1)} as detection_id, {q.group('filename', _ALERT, 2)} as scene_id, cast({q.group('filename', _ALERT, 3)} as double) as latitude, cast({q.group('filename', _ALERT, 4)} as double) as longitude from ({_alert(q)}) t"
 Q["s15_alert_filename"] = _alert
@@ -104,9 +104,6 @@ Q["a18_benchmark_stats"] = lambda q: "select event_type, round(avg(value), 6) as
 Q["a19_label_counts"] = lambda q: "select role, case length(text) % 4 when 0 then 'vessel' when 1 then 'not_vessel' when 2 then 'structure' else 'unsure' end as verdict, count(*) as n from conversations group by 1, 2"
 Q["a20_histogram_modes"] = lambda q: "with h as (select cast(floor(value) as int) as bin, count(*) as n from events group by 1), s as (select bin, n, avg(n) over (order by bin rows between 2 preceding and 2 following) as smooth from h), p as (select *, lag(smooth) over (order by bin) as before, lead(smooth) over (order by bin) as after, sum(n) over () as total from s) select bin, round(smooth, 6) as smooth from p where smooth > coalesce(before, 0) and smooth >= coalesce(after, 0) and smooth > 0.02e0 * total / 5"
 Q["a21_percentiles"] = lambda q: "select event_type, " + ", ".join(f"round({q.quantile('value', p / 100)}, 6) as p{p}" for p in (5, 25, 50, 75, 95)) + ", max(value) as top, round(stddev_pop(value), 6) as sd from events group by event_type having count(*) >= 30"
-Q["a22_neighbour_strata"] = lambda q: "with w as (select distinct x div 64 as gx, y div 64 as gy from contacts)" .replace("x div 64", q.idiv("x", 64)).replace("y div 64", q.idiv("y", 64)) + ", c as (select a.gx, a.gy, count(*) - 1 as near from w a join w b on b.gx between a.gx - 1 and a.gx + 1 and b.gy between a.gy - 1 and a.gy + 1 group by a.gx, a.gy) select near, count(*) as cells from c group by near"
-Q["a24_semivariogram"] = lambda q: "with g as (select c_custkey as k, c_acctbal as v from customer), d as (" + " union all ".join(f"select {h} as lag, lead(v, {h}) over (order by k) - v as dv from g" for h in (1, 2, 3, 4, 5, 6)) + ") select lag, round(0.5e0 * avg(dv * dv), 4) as gamma, count(dv) as pairs from d group by lag having count(dv) >= 100"
-Q["a25_half_sill"] = lambda q: f"with s as (select lag, gamma, max(gamma) over () / 2 as half, lag(gamma) over (order by lag) as before, lag(lag) over (order by lag) as lag0 from (select cast(l_linenumber as int) as lag, round(avg(l_quantity * l_linenumber), 6) as gamma from lineitem group by 1) g) select {q.argmin('round(case when before is null then lag * 1e0 else lag0 + (half - before) / (gamma - before) end, 6)', 'lag')} as half_lag from s where gamma >= half"
 Q["a27_survey_months"] = lambda q: "select month(ts) as m, count(*) as scenes, sum(case when value < 30 then 1 else 0 end) as clear from events group by 1"
 Q["a28_probe_counts"] = lambda q: "select scene_id, count(*) as fixes, count(distinct mmsi) as broadcasters, sum(case when cast(mmsi as varchar(20)) like '316%' then 1 else 0 end) as flagged, sum(case when sog_knots >= 3 then 1 else 0 end) as under_way from fixes group by scene_id"
 Q["a29_retention"] = lambda q: f"select cue, round(avg(pct), 6) as mean_pct, round({q.quantile('pct', 0.9)}, 6) as p90, max(pct) as top, round(100 * avg(case when pct = 0 then 1e0 else 0e0 end), 6) as clean from (select cue, scene_id, 100e0 * avg(case when physics_score > cue then 1e0 else 0e0 end) as pct from contacts cross join (select * from (values (0.4e0), (0.6e0), (0.8e0)) as v(cue)) c group by cue, scene_id) t group by cue"
@@ -155,8 +152,6 @@ Q["f21_arctic"] = lambda q: f"select t.detection_id, case when t.mmsi is not nul
 Q["f24_cep"] = lambda q: "select detection_id, round(wake_snr / sqrt(2 * ln(2e0)), 9) as sigma, round(0.589e0 * (wake_snr + peak_z), 9) as cep_elliptical, round(wake_snr * sqrt(-2 * ln(1 - 0.9e0)), 9) as r90 from contacts"
 Q["f26_expected"] = lambda q: "select scene_id, round(count(*) / 419.4304e0 * pi() * 2.5e0 * 2.5e0, 9) as expected from contacts group by scene_id"
 Q["f27_staleness"] = lambda q: "select knots, minutes, round(knots * 0.514444e0 * minutes * 60, 6) as metres from (values (5e0), (10e0), (15e0), (25e0)) as a(knots) cross join (values (5e0), (15e0), (30e0), (60e0)) as b(minutes)"
-_T = "(c_acctbal / 200 + 293.15e0)"
-Q["f28_radiated"] = lambda q: f"select c_custkey, round(0.85e0 * 5.670374419e-8 * 0.090e0 * (power({_T}, 4) - power(2.725e0, 4)), 9) as watts, round(power((10 + 12e0) / (0.85e0 * 5.670374419e-8 * 0.090e0) + power(2.725e0, 4), 0.25e0) - 273.15e0, 9) as chassis from customer"
 Q["f29_orbit_phase"] = lambda q: f"select event_id, {q.pmod('value * 60 / 5676e0', '1e0')} >= 0.35e0 as sunlit, round((case when {q.pmod('value * 60 / 5676e0', '1e0')} < 0.35e0 then 0.35e0 else 1e0 end - {q.pmod('value * 60 / 5676e0', '1e0')}) * 5676, 6) as to_terminator from events"
 Q["f32_crop_padding"] = lambda q: "select detection_id, least(160, greatest(64, cast(ceil(1.5e0 * hull_len_m / 10) as int))) as pad from contacts"
 Q["f34_temperature"] = lambda q: "select event_id, round((event_id % 65536) * 0.00341802e0 + 149e0 - 273.15e0, 4) as celsius from events"

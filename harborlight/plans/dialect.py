@@ -79,6 +79,7 @@ def _hours(q: Dialect) -> str:
 
 #: Name, tables it stands on, and its SQL.
 DERIVED: dict[str, Callable[[Dialect], str]] = {
+    "pixels": lambda q: "select vec_id, " + q.idiv("pos", 8) + " as y, pos % 8 as x, cast(v as double) as v from " + q.pick("embeddings lateral view posexplode(embedding) e as pos, v", "(select vec_id, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding) as v from embeddings) e"),
     "scenes": lambda q: "select n_nationkey as scene_key, concat('SCENE_', lpad(cast(n_nationkey as varchar(10)), 2, '0')) as scene_id, timestamp '2024-01-15 12:00:00' as shutter_time, 30.0e0 + n_nationkey*0.9e0 as center_lat, -80.0e0 + n_nationkey*1.3e0 as center_lon, 10.0e0 as gsd_m, 2048 as width, 2048 as height, cast((n_nationkey*13)%100 as double) as cloud_pct, cast((n_nationkey*7)%12 as double) / 2e0 as ice_pct, cast(40 + (n_nationkey*17)%61 as double) as water_pct, cast(70 + (n_nationkey*11)%31 as double) as valid_pct, ((n_nationkey*5)%10) * 1e-6 as blur from nation",
     "fixes": lambda q: "select e.event_id, 316000000+e.user_id as mmsi, s.scene_id, e.ts as fix_time, s.center_lat + (((e.user_id*37)%41)-20)*0.004e0 + (((e.event_id*13)%21)-10)*0.00005e0 as latitude, s.center_lon + (((e.user_id*53)%41)-20)*0.004e0 + (((e.event_id*29)%21)-10)*0.00005e0 as longitude, case when e.event_id%3=0 then 0.0e0 else round(e.value/30.0e0,1) end as sog_knots, cast((e.event_id*53)%360 as double) as cog_deg, cast(5 + (e.user_id*7)%300 as double) as length_m from {events} e join scenes s on s.scene_key = e.user_id%25",
     "contacts": lambda q: "select c_custkey as contact_key, concat('C', lpad(cast(c_custkey as varchar(10)),6,'0')) as detection_id, s.scene_id, s.center_lat + (((c_custkey*37)%41)-20)*0.004e0 + (((c_custkey*11)%21)-10)*0.0001e0 as latitude, s.center_lon + (((c_custkey*53)%41)-20)*0.004e0 + (((c_custkey*19)%21)-10)*0.0001e0 as longitude, cast((c_custkey*31)%360 as double) as heading_deg, (c_custkey%5=0) as heading_ambiguous_180, case when c_custkey%3=0 then 'VESSEL_STATIONARY_OR_SLOW' else 'VESSEL_UNDERWAY' end as target_type, case when c_custkey%3=0 then 0.0e0 else cast(60+(c_custkey*17)%900 as double) end as wake_length_m, cast((c_custkey*7)%20 as double) as wake_snr, round(0.35e0+(c_custkey%66)/100.0e0,3) as physics_score, (c_custkey*97)%2048 as x, (c_custkey*89)%2048 as y, cast(4 + (c_custkey*23)%480 as double) as hull_len_m, cast(2 + (c_custkey*29)%80 as double) as hull_wid_m, cast((c_custkey*41)%30 as double) as peak_z, (c_custkey*43)%9 as neighbours from {customer} join scenes s on s.scene_key=c_custkey%25 where c_custkey%4<>3",
@@ -90,16 +91,32 @@ DERIVED: dict[str, Callable[[Dialect], str]] = {
           {q.haversine_nm('d.latitude', 'd.longitude', 'c.plat', 'c.plon')} as dist, {q.haversine_nm('d.latitude', 'd.longitude', 'c.latitude', 'c.longitude')} as from_fix
         from contacts d join catalog c on c.scene_id = d.scene_id and abs(c.age_h) <= 3) t where dist <= tight or (dist <= wide and abs(from_fix - run_nm) <= tight)""",
 }
-# matches come from the matching operator on Spark and from this recursive walk in DuckDB
-_WALK = """select scene_id, detection_id, mmsi, dist, tier from (
-  with recursive ranked as (select *, row_number() over (partition by scene_id order by tier, dist, detection_id, mmsi) as k from pairs),
-  walk(scene_id, k, dets, ships, took) as (
-    select distinct scene_id, cast(0 as bigint), cast([] as varchar[]), cast([] as bigint[]), false from ranked
+
+
+def walk_sql(candidates: str, left: str, right: str, order: str) -> str:
+    """DuckDB's twin of greedy_match: the candidates of each scene in order, each taken if both its ends are free."""
+    return f"""with recursive ranked as (select *, row_number() over (partition by scene_id order by {order}) as k from ({candidates}) cand),
+  walk(scene_id, k, lefts, rights, took) as (
+    select distinct scene_id, cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), false from ranked
     union all
-    select r.scene_id, r.k, case when free then list_append(w.dets, r.detection_id) else w.dets end, case when free then list_append(w.ships, r.mmsi) else w.ships end, free
-    from (select w.*, r.detection_id, r.mmsi, r.k as rk, not list_contains(w.dets, r.detection_id) and not list_contains(w.ships, r.mmsi) as free from walk w join ranked r on r.scene_id = w.scene_id and r.k = w.k + 1) w
-    join ranked r on r.scene_id = w.scene_id and r.k = w.rk)
-  select r.* from walk w join ranked r on r.scene_id = w.scene_id and r.k = w.k where w.took) m"""
+    select scene_id, rk, case when free then list_append(lefts, l) else lefts end, case when free then list_append(rights, r) else rights end, free
+    from (select w.scene_id, w.lefts, w.rights, n.k as rk, cast(n.{left} as varchar) as l, cast(n.{right} as varchar) as r, not list_contains(w.lefts, cast(n.{left} as varchar)) and not list_contains(w.rights, cast(n.{right} as varchar)) as free from walk w join ranked n on n.scene_id = w.scene_id and n.k = w.k + 1) s)
+  select r.* exclude (k) from walk w join ranked r on r.scene_id = w.scene_id and r.k = w.k where w.took"""
+
+
+def survivors_sql(items: str, over: str, id_: str, order: str) -> str:
+    """DuckDB's twin of survivors: items of each scene in order, each kept unless a kept one outranks it."""
+    return f"""with recursive ranked as (select i.*, o.above, row_number() over (partition by scene_id order by {order}) as k from ({items}) i left join (select dst, list(src) as above from ({over}) e group by dst) o on o.dst = i.{id_}),
+  walk(scene_id, k, kept, took) as (
+    select distinct scene_id, cast(0 as bigint), cast([] as bigint[]), false from ranked
+    union all
+    select scene_id, rk, case when free then list_append(kept, id) else kept end, free
+    from (select w.scene_id, w.kept, n.k as rk, n.{id_} as id, n.above is null or not list_has_any(n.above, w.kept) as free from walk w join ranked n on n.scene_id = w.scene_id and n.k = w.k + 1) s)
+  select r.* exclude (k, above) from walk w join ranked r on r.scene_id = w.scene_id and r.k = w.k where w.took"""
+
+
+# matches come from the matching operator on Spark and from this recursive walk in DuckDB
+_WALK = "select scene_id, detection_id, mmsi, dist, tier from (" + walk_sql("select * from pairs", "detection_id", "mmsi", "tier, dist, detection_id, mmsi") + ") m"
 _NEEDS = {"fixes": ["scenes"], "contacts": ["scenes"], "structures": ["scenes"], "nearest_fix": ["fixes", "scenes"], "catalog": ["nearest_fix"], "pairs": ["contacts", "catalog"], "matches": ["pairs"]}
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import programs
 from .catalogue import Q
 from .dialect import duck_sql, spark_query
+from .studies import S
 
-QUERIES: dict = {name: spark_query(builder) for name, builder in Q.items()} | programs.QUERIES
-ORACLE: dict = {name: duck_sql(builder) for name, builder in Q.items()} | programs.ORACLE
+SHARED = Q | S
+QUERIES: dict = {name: spark_query(builder) for name, builder in SHARED.items()} | programs.QUERIES
+ORACLE: dict = {name: duck_sql(builder) for name, builder in SHARED.items()} | programs.ORACLE
