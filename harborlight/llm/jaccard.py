@@ -25,8 +25,8 @@ _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 CLASSES = 4
 #: Documents about whose counts one row of a part carries.
 BUCKET = 1 << 15
-#: Star rounds, and the pairs that a block of those left may have for each row of the index: comparisons of two numbers each.
-STARS, REST = 2, 256
+#: Pairs that a block of those left after the star round may have for each row of the index: comparisons of two numbers each.
+REST = 256
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def join_sets(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[Da
     index = reps.select("rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = tables.write(index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     shared = often.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    found = spread_join(index, often, "token", "df", shared).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    found = spread_join(index, often, "token", often, shared).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     found = found.where(F.size("list") * 100 >= F.col("n") * percent).withColumn("reach", (F.size("list") - need(F.col("n")) + 1).cast("int"))
     hashed = lambda salt: F.slice(F.array_sort(F.transform("list", lambda x: F.struct(F.xxhash64(x["token"], F.lit(salt)).alias("h"), x["token"].alias("token")))), 1, F.col("reach"))["token"]
     found = found.select("rep", "n", (F.size("list") / F.col("n")).alias("known"), F.col("list")["token"].alias("tokens"), F.slice("list", 1, F.col("reach"))["token"].alias("p1"), hashed(1).alias("p2"), hashed(2).alias("p3"))
@@ -171,36 +171,38 @@ def _pair(x: Column, y: Column) -> list[Column]:
 def _links(found: DataFrame, index: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Links enough to give every component that all links give.
 
-    A pair in one component already needs no test, so each star round tests the pairs of one centre in each index entry, which is as
-    many as the index has rows at most, and joins what it finds. Then every pair in an entry between different components is tested:
-    each member meets the members outside the entry's largest component, in as many blocks of these as keep a block's pairs bounded
-    by the rows of the index.
+    A pair in one component already needs no test, so a star round first tests the pairs of one centre in each index entry, which is
+    as many as the index has rows at most, and joins what it finds. Then every pair in an entry between different components is
+    tested: each member meets the members outside the entry's largest component, in as many blocks of these as keep a block's pairs
+    bounded by the rows of the index.
     """
     # the first shared shingle stands where both sets still have, from there on, as many shingles as they must share
     fits = (F.col("label") != F.col("o.label")) & (F.least("left", "o.left") * (100 + percent) >= (F.col("n") + F.col("o.n")) * percent)
-    meet = lambda x, y: spread_join(x, y, "token", "c", entries).where(fits).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
     me = F.struct("rep", "n", "left", "label")
     entries = index.count()
-    links, labelled = None, index.withColumn("label", F.col("rep"))
-    for k in range(STARS + 1):
-        # round 0: the document that shares most of its shingles; later ones: one of the entry's smallest component
-        rank = F.struct(F.col("known") if k == 0 else F.xxhash64("rep", F.lit(k)).cast("double"), -F.col("rep"))
-        by = labelled.groupBy("token", "label").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), me.alias("m"))).alias("best"))
-        first = F.max("best") if k == 0 else F.min(F.struct("c", "label", "best"))["best"]
-        by = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main"), first["m"].alias("o"))
-        by = tables.write(by.where("c * c > s"), f"open-{k}")
-        if k == STARS:
-            break
-        new = tables.write(_verify(meet(labelled, by.select("token", "c", "o")), found, percent), f"links-{k}")
-        links = new if links is None else links.union(new)
-        parts = components(links, tables, f"round-{k}")
-        labelled = tables.write(index.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "rep").alias("label")), f"labelled-{k}")
+
+    def several(labelled: DataFrame, name: str) -> DataFrame:
+        """Entries with several components: rows, sum of squares by component, the largest one, and the row that shares most of its shingles."""
+        by = labelled.groupBy("token", "label").agg(F.count("*").alias("c"), F.max(F.struct("known", (-F.col("rep")).alias("place"), me.alias("o"))).alias("best"))
+        by = by.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "label"))["label"].alias("main"), F.max("best")["o"].alias("o"))
+        return tables.write(by.where("c * c > s"), name)
+
+    def meet(x: DataFrame, y: DataFrame, by: DataFrame, name: str) -> DataFrame:
+        pairs = spread_join(x, y, "token", by.select("token", "c"), entries).where(fits).select(*_pair(F.col("rep"), F.col("o.rep"))).distinct()
+        return tables.write(_verify(pairs, found, percent), name)
+
+    labelled = index.withColumn("label", F.col("rep"))
+    by = several(labelled, "open-0")
+    links = meet(labelled, by.select("token", "o"), by, "links")
+    parts = components(links, tables, "round")
+    labelled = tables.write(index.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "known", "left", "token", F.coalesce("component", "rep").alias("label")), "labelled")
+    by = several(labelled, "open-1")
     rest = by.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0))).first()[0]
     blocks = int(rest // max(1, REST * entries)) + 1
-    open_ = tables.write(spread_join(labelled, by.select("token", "main", "c"), "token", "c", entries), "rest")
+    open_ = tables.write(spread_join(labelled, by.select("token", "main"), "token", by.select("token", "c"), entries), "rest")
     for k in range(blocks):
-        others = open_.where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)) == k)).select("token", "c", me.alias("o"))
-        links = links.union(tables.write(_verify(meet(open_.drop("c", "main"), others), found, percent), f"links-rest-{k}"))
+        others = open_.where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)) == k)).select("token", me.alias("o"))
+        links = links.union(meet(open_.drop("main"), others, by, f"links-{k}"))
     return links
 
 
