@@ -252,3 +252,16 @@ def test_neighbours_in_a_large_group_of_near_copies(spark):
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
     assert hits >= 0.98 * 20 * 20, hits
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, docs, empty):
+    assert media.media_features(media.to_media(empty)).count() == 0
+    assert langid.predict_language(empty, langid.train_language(docs)).count() == 0
+    page = "page_id long, url string, html string, host string, texts string, copy int, copies int, n int"
+    assert pages.extract(spark.createDataFrame([], page)).count() == 0
+    html = "<nav>Menu</nav><article><p>One</p></article>"
+    rows = [(1, "http://a/", html, "h", "t", 1, 2, 3)] * 3 + [(2, None, None, None, None, None, None, None)]
+    got = collections.Counter(tuple(r) for r in pages.extract(spark.createDataFrame(rows, page)).select("page_id", "text", "n_chars").collect())
+    assert got == {(1, "One", 3): 3, (2, "", 0): 1}
+    got = collections.Counter(r.doc_id for r in langid.predict_language(docs, langid.train_language(docs)).collect())
+    assert got == collections.Counter(r.doc_id for r in docs.collect())
