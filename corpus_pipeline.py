@@ -42,7 +42,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", bpe_stage),
 ]
 
-#: Learned models, shingle joins and BPE have no SQL; tests hold the pipeline against brute force.
+#: Learned models, shingle joins and BPE have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
