@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from harborlight.functions.geo import haversine_nm
 
 
-def cell_join(left: DataFrame, right: DataFrame, radius_nm: float, max_lat: float = 80.0) -> DataFrame:
+def cell_join(left: DataFrame, right: DataFrame, radius_nm: float) -> DataFrame:
     """Pairs of rows (columns l and r, structs) of points at most radius_nm apart, with `nm`; both sides have latitude and longitude.
 
-    Points go to cells as high as the radius and as wide as it is at max_lat; the right side is repeated in the 3 x 3 cells around
-    its own, so the join has an equality key. Longitudes wrap at 180 degrees. Points beyond max_lat need a larger max_lat.
+    Rows of cells are as high as the radius, and each has as many columns as keep a cell as wide as the radius reaches in longitude
+    there, one at the poles. The right side goes to every cell it reaches in its own row and the two beside it, so the join has an
+    equality key and misses no pair anywhere on the sphere.
     """
     high = radius_nm / 60.0 * 1.001
-    wide = high / math.cos(math.radians(max_lat))
-    columns = max(1, int(360.0 // wide))
-    row = lambda d: F.floor(d["latitude"] / high)
-    col = lambda d: F.pmod(F.floor((d["longitude"] + 180.0) / (360.0 / columns)), F.lit(columns))
-    a = left.select(F.struct(*left.columns).alias("l"), row(left).alias("cy"), col(left).alias("cx"))
-    b = right.select(F.struct(*right.columns).alias("r"), row(right).alias("y"), col(right).alias("x"))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    b = b.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).select("r", (F.col("y") + F.col("dy")).alias("cy"), F.pmod(F.col("x") + F.col("dx"), F.lit(columns)).alias("cx")).distinct()
+    # how far the radius reaches in longitude from the row of cells, and the columns of that row
+    edge = lambda row: F.greatest(F.abs(row), F.abs(row + 1)) * high + high
+    reach = lambda row: F.when(edge(row) + high >= 90, 180.0).otherwise(F.degrees(F.asin(math.sin(math.radians(high)) / F.cos(F.radians(F.least(edge(row), F.lit(89.999))))))) * 1.001
+    columns = lambda row: F.greatest(F.floor(360.0 / reach(row)), F.lit(1)).cast("long")
+    at = lambda lon, row: F.floor((lon + 180.0) * columns(row) / 360.0)
+    cell = F.floor(F.col("latitude") / high)
+    a = left.select(F.struct(*left.columns).alias("l"), cell.alias("cy"), F.pmod(at(F.col("longitude"), cell), columns(cell)).alias("cx"))
+    b = right.select(F.struct(*right.columns).alias("r"), "longitude", F.explode(F.sequence(cell - 1, cell + 1)).alias("cy"))
+    around = F.sequence(at(F.col("longitude") - reach(F.col("cy")), F.col("cy")), at(F.col("longitude") + reach(F.col("cy")), F.col("cy")))
+    b = b.select("r", "cy", F.explode(F.array_distinct(F.transform(around, lambda x: F.pmod(x, columns(F.col("cy")))))).alias("cx"))
     nm = haversine_nm(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude"))
     return a.join(b, ["cy", "cx"]).select("l", "r", nm.alias("nm")).where(F.col("nm") <= radius_nm)
