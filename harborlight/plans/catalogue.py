@@ -41,6 +41,17 @@ def targets(q: Dialect) -> str:
       from (select *, case when mmsi is not null and (off_track or bad_course or bad_speed) then 'AIS_KINEMATIC_MISMATCH' when mmsi is not null then 'CONFIRMED_KNOWN_VESSEL' when structure is not null then 'KNOWN_STRUCTURE' else 'DARK_VESSEL' end as classification from ({problems(q)}) p) t"""
 
 
+def running(src: str, groups: dict[str, str], outer: str, inner: str, value: str = "1") -> str:
+    """src with `k`, the running sum of value in the order (outer, inner), where outer orders the groups and inner the rows in one.
+
+    Rows are ordered a group a task; only the groups' totals, one row a group, are ordered in a single task.
+    """
+    names, made = ", ".join(groups), ", ".join(f"{e} as {n}" for n, e in groups.items())
+    totals = f"select {names}, coalesce(sum(n) over (order by {outer} rows between unbounded preceding and 1 preceding), 0) as before from (select {names}, sum({value}) as n from (select *, {made} from ({src}) s0) s1 group by {names}) s2"
+    same = " and ".join(f"o.{n} = r.{n}" for n in groups)
+    return f"select r.*, o.before + sum({value}) over (partition by {', '.join('r.' + n for n in groups)} order by {inner} rows unbounded preceding) as k from (select *, {made} from ({src}) s3) r join ({totals}) o on {same}"
+
+
 Q: dict = {}
 
 
@@ -95,7 +106,7 @@ Q["a5_precision"] = lambda q: f"select sum(case when verdict = 'vessel' then 1 e
 Q["a6_quantiles"] = lambda q: f"select scene_id, count(*) as n, {q.upper('wake_length_m', 0.5)} as med, {q.upper('wake_length_m', 0.9)} as p90, max(wake_length_m) as top from contacts group by scene_id"
 Q["a7_within"] = lambda q: "select scene_id, round(100 * avg(case when dist * 1852 <= 200 then 1e0 else 0e0 end), 6) as within_200m from matches group by scene_id"
 Q["a8_detection_scores"] = lambda q: f"select count(*) as matched, round(avg({q.angle('d.heading_deg', 'c.cog_deg')}), 6) as heading_mae, round({q.median(q.angle('d.heading_deg', 'c.cog_deg'))}, 6) as heading_median, round(avg(abs(d.hull_len_m - c.length_m) / c.length_m), 6) as length_mape from matches m join contacts d on d.detection_id = m.detection_id join catalog c on c.scene_id = m.scene_id and c.mmsi = m.mmsi"
-Q["a9_rank_auc"] = lambda q: "select round((sum(case when good then r else 0 end) - max(np) * (max(np) + 1) / 2e0) / (max(np) * (max(n) - max(np))), 9) as auc from (select good, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as r, sum(case when good then 1 else 0 end) over () as np, count(*) over () as n from (select physics_score as score, contact_key % 3 = 0 as good from contacts) a) b"
+Q["a9_rank_auc"] = lambda q: "select round((sum(g * (before + (n + 1) / 2e0)) - sum(g) * (sum(g) + 1) / 2e0) / (sum(g) * (sum(n) - sum(g))), 9) as auc from (select g, n, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as before from (select physics_score as score, count(*) as n, sum(case when contact_key % 3 = 0 then 1 else 0 end) as g from contacts group by physics_score) a) b"
 Q["a10_robust_sigma"] = lambda q: f"select d.scene_id, round(1.4826e0 * {q.median('abs(d.peak_z - m.med)')}, 9) as sigma from contacts d join (select scene_id, {q.median('peak_z')} as med from contacts group by scene_id) m on m.scene_id = d.scene_id group by d.scene_id"
 Q["a15_profile_costs"] = lambda q: f"select event_type as profile, {q.median('value')} as med, min(value) as low, max(value) as high, count(*) as n from events group by event_type"
 Q["a16_orbit_summary"] = lambda q: f"select user_id, max(value) as peak, {q.argmax('event_type', q.struct('ts', 'event_id'))} as final_profile, count(distinct event_type) as profiles, sum(case when event_type <> before then 1 else 0 end) as transitions from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) t group by user_id"
@@ -113,17 +124,18 @@ Q["a33_distinct"] = lambda q: "select scene_id, count(distinct mmsi) as vessels,
 Q["a34_sweep"] = lambda q: "select k, n, n - first_value(n) over (order by k) as delta from (select k, sum(case when physics_score >= k then 1 else 0 end) as n from contacts cross join (select * from (values (0.3e0), (0.5e0), (0.7e0), (0.9e0)) as v(k)) c group by k) t"
 # --- windows, order, sets
 Q["w1_sequential_ids"] = lambda q: "select detection_id, concat(scene_id, '_T', lpad(cast(row_number() over (partition by scene_id order by y, x, detection_id) as varchar(10)), 3, '0')) as track_id from contacts"
-Q["w2_byte_budget"] = lambda q: "select l_orderkey, l_linenumber from (select *, 1024 + sum(cast(floor(l_extendedprice) as bigint)) over (order by l_discount desc, l_orderkey, l_linenumber rows unbounded preceding) as used from lineitem) t where used <= 50000000"
+Q["w2_byte_budget"] = lambda q: "select l_orderkey, l_linenumber from (" + running("select l_orderkey, l_linenumber, l_discount, cast(floor(l_extendedprice) as bigint) as size from lineitem", {"level": "l_discount", "lot": q.idiv("l_orderkey", 65536)}, "level desc, lot", "l_orderkey, l_linenumber", "size") + ") t where 1024 + k <= 50000000"
 Q["w3_latest_verdict"] = lambda q: f"select conv_id, {q.argmax('length(text) % 4', 'turn')} as verdict from conversations group by conv_id"
 Q["w4_transitions"] = lambda q: "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) t where before is not null and before <> event_type"
 Q["w6_moving_average"] = lambda q: "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 3 preceding and 3 following), 6) as smooth from events"
-Q["w7_round_robin"] = lambda q: f"select o_orderkey, row_number() over (order by slot, kind, i) as sent from (select o_orderkey, kind, i, case when kind = 0 then {q.idiv('i', 3)} else i end as slot from (select o_orderkey, kind, row_number() over (partition by kind order by o_orderkey) - 1 as i from (select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0 else 1 end as kind from orders) a) b) c"
-Q["w8_transmit_time"] = lambda q: "select o_orderkey, round(sum(o_totalprice) over (order by o_orderkey rows unbounded preceding) / 52428800e0, 6) as seconds from orders"
+_KINDS = "select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0 else 1 end as kind from orders"
+Q["w7_round_robin"] = lambda q: f"select o_orderkey, sent from (select o_orderkey, k as sent from ({running(f"select o_orderkey, kind, i, case when kind = 0 then {q.idiv('i', 3)} else i end as slot from (select o_orderkey, kind, k - 1 - case when kind = 1 then urgent else 0 end as i from ({running(_KINDS, {'queue': 'kind', 'lot': q.idiv('o_orderkey', 65536)}, 'queue, lot', 'o_orderkey')}) a cross join (select sum(case when kind = 0 then 1 else 0 end) as urgent from ({_KINDS}) u) b) c", {'stretch': q.idiv('slot', 65536)}, 'stretch', 'slot, kind, i')}) d) e"
+Q["w8_transmit_time"] = lambda q: "select o_orderkey, round(k / 5242880000e0, 6) as seconds from (" + running("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders", {"lot": q.idiv("o_orderkey", 65536)}, "lot", "o_orderkey", "cents") + ") t"
 Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, row_number() over (order by ts desc, event_id desc) as newest from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) e where before is null or before <> event_type) t where newest <= 100"
 Q["l1_candidate_cap"] = candidate_cap()
 Q["l2_target_order"] = lambda q: f"select detection_id, row_number() over (order by priority desc, detection_id) as place from ({targets(q)}) t"
 Q["l4_argbest"] = lambda q: f"select scene_id, {q.argmax('detection_id', q.struct('wake_snr', 'detection_id'))} as strongest from contacts group by scene_id"
-Q["l5_listing"] = lambda q: "select s_name, row_number() over (order by lower(s_name), s_suppkey) as place from supplier"
+Q["l5_listing"] = lambda q: "select s_name, k as place from (" + running("select s_name, s_suppkey from supplier", {"start": "substr(lower(s_name), 1, 14)"}, "start", "lower(s_name), s_suppkey") + ") t"
 Q["l6_newest"] = lambda q: "select event_id from events order by ts desc, event_id desc limit 100"
 Q["l8_cell_dedupe"] = lambda q: f"select detection_id from (select detection_id, row_number() over (partition by scene_id, {q.idiv('x', 8)}, {q.idiv('y', 8)} order by contact_key) as k from contacts) t where k = 1"
 Q["u1_features"] = lambda q: f"select detection_id as id, classification, priority from ({targets(q)}) t union all select cast(mmsi as varchar(20)), 'AIS_NOT_OBSERVED', cast(null as double) from ({Q['j5_unobserved'](q)}) u where reason = 'CLEAR_WATER_NO_TARGET'"
