@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a (source, shuffle bucket) and items of a bucket of virtual time that one window task orders, about.
+#: Rows of a (source, shuffle bucket) and items of a slice of virtual time that one window task orders, about.
 GROUP, SLICE = 256, 4096
+#: Buckets, or slices, that stand in one group of the level above.
+FAN = 4096
 
 
 def targets(sizes: DataFrame, share: float, most: float, cycle: tuple[int, ...]) -> DataFrame:
@@ -34,6 +36,23 @@ def targets(sizes: DataFrame, share: float, most: float, cycle: tuple[int, ...])
     return s.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("room")).otherwise(F.least("room", F.col("weight") * F.col("level"))).alias("target"))
 
 
+def _before(sums: DataFrame) -> DataFrame:
+    """source, bucket, before: the words of a source in all smaller buckets. No window spans more than FAN buckets, or the groups of FAN."""
+    wide = F.floor(F.col("bucket") / FAN)
+    groups = sums.groupBy("source", wide.alias("wide")).agg(F.sum("words").alias("words"))
+    groups = groups.select("source", "wide", (F.sum("words").over(Window.partitionBy("source").orderBy("wide")) - F.col("words")).alias("ahead"))
+    inside = F.sum("words").over(Window.partitionBy("source", "wide").orderBy("bucket")) - F.col("words")
+    fine = sums.withColumn("wide", wide).select("source", "wide", "bucket", inside.alias("inside"))
+    both = fine.alias("f").join(groups.alias("g"), F.col("f.source").eqNullSafe(F.col("g.source")) & (F.col("f.wide") == F.col("g.wide")))
+    return both.select("f.source", "f.bucket", (F.col("f.inside") + F.col("g.ahead")).alias("before"))
+
+
+def _ends(parts: DataFrame, start: int, budget: int):
+    """The first of parts(slice, words) at whose end the words from `start` on exceed the budget, with that sum as upto; None if none does."""
+    total = parts.select("slice", "words", (F.sum("words").over(Window.orderBy("slice")) + F.lit(start)).alias("upto"))
+    return total.where(F.col("upto") > budget).orderBy("slice").limit(1).first()
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = (5, 2, 1), seed: str = "mix", keep: tuple[str, ...] = ()) -> tuple[DataFrame, Tables]:
     """doc_id, size, source_size, target, taken of every row of docs(doc_id, text, source), and the tables that hold what is between.
 
@@ -52,10 +71,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int
     n, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     budget = int(share * words)
     goals = tables.write(targets(rows, share, most, cycle), "targets")
-    spread = max(1, min(16384, n // GROUP))
-    rows = rows.withColumn("bucket", (F.conv(F.substring("shuffle", 1, 6), 16, 10).cast("long") * spread / (1 << 24)).cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
+    spread = max(1, n // GROUP)
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("shuffle", 1, 12), 16, 10).cast("long") * spread / (1 << 48)))
+    before = _before(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     inner = Window.partitionBy("source", "bucket").orderBy("shuffle", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("run", F.sum("size").over(inner))
     placed = placed.alias("p").join(before.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bucket") == F.col("b.bucket"))).join(F.broadcast(goals).alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))  # a row a source
@@ -67,9 +85,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int
     slices = max(1, 2 * n // SLICE)
     copies = placed.where("size > 0").select("size", "shuffle", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.explode(F.array("first", "second")).alias("time"))
     copies = copies.withColumn("slice", F.floor(F.least(F.col("time"), F.lit(1e6)) * slices))
-    by_slice = copies.groupBy("slice").agg(F.sum("size").alias("words"))
-    total = by_slice.select("slice", "words", F.sum("words").over(Window.orderBy("slice")).alias("upto"))
-    full = total.where(F.col("upto") > budget).orderBy("slice").limit(1).first()  # the slice in which the budget ends: one row
+    by_slice = tables.write(copies.groupBy("slice").agg(F.sum("size").alias("words")), "slices")
+    full = _ends(by_slice.groupBy(F.floor(F.col("slice") / FAN).alias("slice")).agg(F.sum("words").alias("words")), 0, budget)
+    if full is not None:  # the slice in which the budget ends: one row, found in one group of FAN
+        full = _ends(by_slice.where(F.floor(F.col("slice") / FAN) == full.slice), full.upto - full.words, budget)
     if full is None:
         taken = lambda t: F.lit(1)
     else:

@@ -76,7 +76,9 @@ def test_suffix_arrays():
         assert suffix.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_suffix_removal(docs, rows, empty):
+@pytest.mark.parametrize("shares", [1000, 1 << 40])
+def test_suffix_removal(docs, rows, empty, monkeypatch, shares):
+    monkeypatch.setattr(common, "SHARES", shares)
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         b = (t or "").encode()
@@ -157,6 +159,16 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty)[0].count() == 0
 
 
+def test_mixing_on_two_levels(docs, monkeypatch):
+    def found():
+        return sorted(map(str, mixing.mix(docs)[0].collect()))
+
+    want = found()
+    for name, value in (("GROUP", 1), ("SLICE", 2), ("FAN", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    assert found() == want
+
+
 def test_classifiers(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(14, 60)] + [(None, 1, 0), (14, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(docs, quality.train_quality(docs, labels)).collect()
