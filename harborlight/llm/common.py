@@ -92,8 +92,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]] if len(column) else data[:0], (ends - ends[0]) if len(column) else np.zeros(1, np.int64)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
-    """left joined to right, where counts(key, n) has a row a key with how many rows left has of it; `total` are all rows of left.
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right (`how`: inner or left), where counts(key, n) has a row a key with how many rows left has of it; `total` are all rows of left.
 
     A key with over a SHARES-th of all rows has its right rows once for each such share, and its left rows dealt over these copies, so
     no task gets one key whole. Fewer than SHARES keys are as large, so what is broadcast is bounded whatever the input.
@@ -102,7 +102,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame,
     hot = F.broadcast(counts.toDF(key, "n_").where(F.col("n_") > share).select(key, F.ceil(F.col("n_") / share).cast("int").alias("copies_")))
     dealt = left.join(hot, key, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), "copies_").cast("int"), F.lit(0))).drop("copies_")
     copied = right.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("copies_", F.lit(1)) - 1))).drop("copies_")
-    return dealt.join(copied, [key, "salt_"]).drop("salt_")
+    return dealt.join(copied, [key, "salt_"], how).drop("salt_")
 
 
 def total_bytes(df: DataFrame) -> tuple[int, int]:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_limits, documents, map_batches, mix64, text_bytes, total_bytes
+from .common import Tables, arrow_limits, documents, map_batches, mix64, spread_join, text_bytes, total_bytes
 from .packed import PART, _runs, exchange, parts_for, repeated, unpack
 
 WIDTH, GRAM = 50, 24
@@ -442,17 +442,17 @@ def _cut(raw: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     return int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame, Tables]:
-    """base(doc_id, n_bytes, sha) of all rows; later(sha, first): texts of which only `first` is not removed whole; done(doc_id, sha, n_removed, n_spans, kept_sha256, kept) of the documents that lose some bytes otherwise."""
+def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, Tables]:
+    """base(doc_id, n_bytes, sha, first) of all rows, where all but `first` of the same text, if it is not null, are removed whole; done(doc_id, sha, n_removed, n_spans, kept_sha256, kept) of the documents that lose some bytes otherwise."""
     spark = docs.sparkSession
     arrow_limits(spark)
     tables, d = Tables(spark, "suffix"), documents(docs)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     base = tables.write(d.select("doc_id", F.length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "base")
     # whole copies of a smaller document lose every byte; only the smallest of each text goes on
-    reps = base.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    reps = tables.write(base.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "reps")
     d = d.where("doc_id IS NOT NULL")
-    _, size = total_bytes(d)
+    n, size = total_bytes(d)
     shared = exchange(d, _anchor_pairs, parts_for(size // 14), True).groupBy("part").applyInArrow(_shared(max(8, size // 14 // (2 * PART))), "bucket int, owners binary, anchors binary")
     asked = shared.groupBy("bucket").applyInArrow(_gathered, "doc_id long, anchors binary").join(reps.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     asked = tables.write(asked, "asked")  # so that the anchors' shuffle files go before the segments' come
@@ -474,7 +474,9 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataF
         return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {k: pa.array(v, t) for k, v, t in zip(("sha", "n_removed", "n_spans", "kept_sha256", "kept"), out, types)})
 
     done = map_batches(d.join(spans, "doc_id").select("doc_id", "text", "spans"), cut, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["doc_id", "sha"])
-    return base, reps.where("first < last").select("sha", "first"), done, tables
+    later = reps.where("first < last")
+    # a text may have very many copies: its rows are dealt over several tasks
+    return spread_join(base, later.select("sha", "first"), "sha", later.select("sha", "n"), n, "left"), done, tables
 
 
 def remove_repeats(docs: DataFrame) -> tuple[DataFrame, Tables]:
@@ -484,8 +486,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, Tables]:
     texts shorter than WIDTH bytes lose nothing. Rows that repeat a doc_id stay and don't remove from each other; rows with a null
     doc_id take no part and lose nothing. Columns other than doc_id and text play no part.
     """
-    base, later, done, tables = _find(docs, False)
-    all_ = base.join(later, "sha", "left").join(done, ["doc_id", "sha"], "left")
+    base, done, tables = _find(docs, False)
+    all_ = base.join(done, ["doc_id", "sha"], "left")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
     lost = lambda whole, column: F.when(copy, whole).otherwise(F.coalesce(column, F.lit(0))).cast("long").alias(column)
@@ -497,8 +499,8 @@ def strip_repeats(docs: DataFrame) -> tuple[DataFrame, Tables]:
 
     Rows of which nothing is left go, as all they say stands in smaller documents; rows that lose nothing are as they were.
     """
-    base, later, done, tables = _find(docs, True)
-    whole = base.join(later, "sha").where("first < doc_id").select("doc_id", "sha", F.lit("").alias("kept")).distinct()
+    base, done, tables = _find(docs, True)
+    whole = base.where("first < doc_id").select("doc_id", "sha", F.lit("").alias("kept")).distinct()
     changed = done.where("n_removed > 0").join(whole.select("doc_id", "sha"), ["doc_id", "sha"], "left_anti").select("doc_id", "sha", "kept").union(whole)
     changed = tables.write(changed, "changed").toDF("doc_id_", "sha_", "kept_")
     key = (docs["doc_id"].cast("long") == changed["doc_id_"]) & (F.sha2(F.encode(docs["text"].cast("string"), "UTF-8"), 256) == changed["sha_"])
