@@ -3,6 +3,8 @@
 A window is a WIDTH-byte string. Each has an anchor: the least hash of the GRAM-byte strings in it, so equal windows have equal
 anchors. Only windows whose anchor occurs in another document can repeat; runs of them with one anchor are cut out as segments,
 equal segments become one, and segments go to shards by anchor. A shard's suffix array then stands equal windows side by side.
+Windows of an anchor that very many documents hold are told apart by the least hash of their LONG-byte strings too, so that no shard
+gets all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import Tables, arrow_limits, documents, map_batches, mix64, spread_join, text_bytes, total_bytes
 from .packed import PART, _runs, exchange, parts_for, repeated, unpack
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM, LONG = 50, 24, 40
+#: An anchor with two in this many of all (document, anchor) pairs is told apart further; none with half as many is.
+HOT = 10_000
 #: Windows of a segment at most, and bytes of segments that a shard holds, about.
 RUN, SHARD = 64, 2 << 20
 #: Bytes of segments, and places of segments in documents, that a task holds before it sends them.
@@ -171,18 +175,20 @@ def _powers(n: int) -> int:
     return pow(0x9E3779B97F4A7C15, n, 1 << 64)
 
 
-def window_anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor at each place, whether a window of a row starts there, and the row of each place."""
+def window_anchors(data: np.ndarray, starts: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor at each place (by strings of GRAM or LONG bytes), whether a window of a row starts there, and the row of each place."""
     n = len(data)
     if n < WIDTH:
         return np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, np.int64)
     h = {1: data.astype(np.uint64) + np.uint64(1)}
-    for k in (1, 2, 4, 8):
+    k, many = 1, n - gram + 1
+    while 2 * k + 8 <= gram:
         h[2 * k] = h[k][:-k] * np.uint64(_powers(k)) + h[k][k:]
-    g = h[16][: n - GRAM + 1] * np.uint64(_powers(8)) + h[8][16 : 16 + n - GRAM + 1]
+        k *= 2
+    g = h[k][:many] * np.uint64(_powers(8)) + h[8][k : k + many]  # k + 8 bytes
     del h
     g = mix64(g)
-    span, m = WIDTH - GRAM + 1, 1
+    span, m = WIDTH - gram + 1, 1
     while m * 2 <= span:
         g = np.minimum(g[:-m], g[m:])
         m *= 2
@@ -237,7 +243,34 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[at[:-1]], pa.int64()), "anchors": pa.array([h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
 
-def _segments(shards: int):
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with more than one in HOT of the pairs of a block, and how many there; an anchor loses one in HOT of all pairs at most."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        anchors, n = np.unique(np.concatenate(held), return_counts=True)
+        many = n > size // HOT
+        return pa.RecordBatch.from_pydict({"anchor": pa.array(anchors[many].view(np.int64)), "n": pa.array(n[many].astype(np.int64))})
+
+    for b in batches:
+        for x in b.column("anchors").to_pylist():
+            held.append(np.frombuffer(x, np.uint64))
+            size += len(held[-1])
+        if size >= 4 * PART:
+            yield counted()
+            held, size = [], 0
+    if size:
+        yield counted()
+
+
+def _hot(asked: DataFrame) -> np.ndarray:
+    """The anchors, HOT at most, that take so large a share of all pairs, sorted."""
+    pairs = (asked.agg(F.sum(F.length("anchors"))).first()[0] or 0) // 8
+    found = asked.select("anchors").mapInArrow(_frequent, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= pairs)
+    return np.sort(np.array([r.anchor for r in found.select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def _segments(shards: int, hot: np.ndarray):
     """Runs of windows that share an anchor which another document has too.
 
     Rows of kind 0 say, for a shard and PLACES places of a task, which segments stand where in which documents; rows of kind 1 hold
@@ -287,6 +320,9 @@ def _segments(shards: int):
                 at = np.flatnonzero(ok & (known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a)) if len(known) else known
                 if not len(at):
                     continue
+                often = at[hot[np.minimum(np.searchsorted(hot, a[at]), len(hot) - 1)] == a[at]] if len(hot) else at[:0]
+                if len(often):
+                    a[often] = mix64(a[often] ^ window_anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), LONG)[0][often])
                 new = np.concatenate([[True], (np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])])
                 first = np.flatnonzero(new)
                 place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
@@ -458,7 +494,7 @@ def _find(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, Table
     asked = tables.write(asked, "asked")  # so that the anchors' shuffle files go before the segments' come
     shards = int(max(8, size // (2 * SHARD)))
     names = "kind int, part int, owners binary, at binary, keys binary, bodies binary"
-    segments = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards), names)
+    segments = d.join(asked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(shards, _hot(asked)), names)
     spans = segments.groupBy("part").applyInArrow(_shard, "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     spans = tables.write(spans, "spans")
     tables.drop("asked")

@@ -76,9 +76,10 @@ def test_suffix_arrays():
         assert suffix.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("shares", [1000, 1 << 40])
-def test_suffix_removal(docs, rows, empty, monkeypatch, shares):
+@pytest.mark.parametrize(("shares", "hot"), [(1000, 10_000), (1 << 40, 20), (1000, 1)])
+def test_suffix_removal(docs, rows, empty, monkeypatch, shares, hot):
     monkeypatch.setattr(common, "SHARES", shares)
+    monkeypatch.setattr(suffix, "HOT", hot)
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         b = (t or "").encode()
