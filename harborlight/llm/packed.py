@@ -1,4 +1,4 @@
-"""Which hashes occur more than once, over all documents: (document, hash) pairs travel as packed arrays, by ranges of the hash."""
+"""Which hashes occur more than once, over all documents: (document, hash) pairs travel as packed arrays, by parts of the hash."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def parts_for(pairs: int) -> int:
 
 
 def exchange(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], n_parts: int, forward: bool) -> DataFrame:
-    """(part, data): the pairs of all documents by part of the hash's range; ids must not be null.
+    """(part, data): the pairs of all documents by part of the hash; ids must not be null.
 
     pairs(bytes, starts) gives the row and the 64-bit hash of each pair of a batch, a hash once a row. Where several documents of a
     buffer share a hash, one pair goes on in their place, marked 1, so a hash that very many documents hold puts a pair a buffer
@@ -30,7 +30,8 @@ def exchange(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np
     arrow_limits(docs.sparkSession)
 
     def pack(ids: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        part, marks = ((h >> np.uint64(40)).astype(np.int64) * n_parts) >> 24, np.zeros(len(h), np.uint8)
+        # mixed once more, as a least hash of several is small: ranges of it would put most anchors into the first part
+        part, marks = ((mix64(h) >> np.uint64(40)).astype(np.int64) * n_parts) >> 24, np.zeros(len(h), np.uint8)
         known = repeated(h)
         if known.any():
             _, first = np.unique(h[known], return_index=True)
