@@ -110,7 +110,7 @@ Q["a9_rank_auc"] = lambda q: "select round((sum(g * (before + (n + 1) / 2e0)) -
 Q["a10_robust_sigma"] = lambda q: f"select d.scene_id, round(1.4826e0 * {q.median('abs(d.peak_z - m.med)')}, 9) as sigma from contacts d join (select scene_id, {q.median('peak_z')} as med from contacts group by scene_id) m on m.scene_id = d.scene_id group by d.scene_id"
 Q["a15_profile_costs"] = lambda q: f"select event_type as profile, {q.median('value')} as med, min(value) as low, max(value) as high, count(*) as n from events group by event_type"
 Q["a16_orbit_summary"] = lambda q: f"select user_id, max(value) as peak, {q.argmax('event_type', q.struct('ts', 'event_id'))} as final_profile, count(distinct event_type) as profiles, sum(case when event_type <> before then 1 else 0 end) as transitions from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) t group by user_id"
-Q["a17_soak_drift"] = lambda q: f"select round({q.median('case when b = 1 then value end')}, 6) as first_quarter, round({q.median('case when b = 4 then value end')}, 6) as last_quarter from (select value, ntile(4) over (order by ts, event_id) as b from events) t"
+Q["a17_soak_drift"] = lambda q: f"select round({q.median('case when k <= ' + q.idiv('n + 3', 4) + ' then value end')}, 6) as first_quarter, round({q.median('case when k > n - ' + q.idiv('n', 4) + ' then value end')}, 6) as last_quarter from (select value, k, (select count(*) from events) as n from (" + running("select ts, event_id, value from events", {"day": q.date("ts")}, "day", "ts, event_id") + ") t) u"
 Q["a18_benchmark_stats"] = lambda q: "select event_type, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd from events group by event_type"
 Q["a19_label_counts"] = lambda q: "select role, case length(text) % 4 when 0 then 'vessel' when 1 then 'not_vessel' when 2 then 'structure' else 'unsure' end as verdict, count(*) as n from conversations group by 1, 2"
 Q["a20_histogram_modes"] = lambda q: "with h as (select cast(floor(value) as int) as bin, count(*) as n from events group by 1), s as (select bin, n, avg(n) over (order by bin rows between 2 preceding and 2 following) as smooth from h), p as (select *, lag(smooth) over (order by bin) as before, lead(smooth) over (order by bin) as after, sum(n) over () as total from s) select bin, round(smooth, 6) as smooth from p where smooth > coalesce(before, 0) and smooth >= coalesce(after, 0) and smooth > 0.02e0 * total / 5"
@@ -131,7 +131,7 @@ Q["w6_moving_average"] = lambda q: "select event_id, round(avg(value) over (part
 _KINDS = "select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 0 else 1 end as kind from orders"
 Q["w7_round_robin"] = lambda q: f"select o_orderkey, sent from (select o_orderkey, k as sent from ({running(f"select o_orderkey, kind, i, case when kind = 0 then {q.idiv('i', 3)} else i end as slot from (select o_orderkey, kind, k - 1 - case when kind = 1 then urgent else 0 end as i from ({running(_KINDS, {'queue': 'kind', 'lot': q.idiv('o_orderkey', 65536)}, 'queue, lot', 'o_orderkey')}) a cross join (select sum(case when kind = 0 then 1 else 0 end) as urgent from ({_KINDS}) u) b) c", {'stretch': q.idiv('slot', 65536)}, 'stretch', 'slot, kind, i')}) d) e"
 Q["w8_transmit_time"] = lambda q: "select o_orderkey, round(k / 5242880000e0, 6) as seconds from (" + running("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders", {"lot": q.idiv("o_orderkey", 65536)}, "lot", "o_orderkey", "cents") + ") t"
-Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, row_number() over (order by ts desc, event_id desc) as newest from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) e where before is null or before <> event_type) t where newest <= 100"
+Q["w10_stage_changes"] = lambda q: "select user_id, event_id, before as from_stage, event_type as stage from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) e where before is null or before <> event_type order by ts desc, event_id desc limit 100"
 Q["l1_candidate_cap"] = candidate_cap()
 Q["l2_target_order"] = lambda q: f"select detection_id, row_number() over (order by priority desc, detection_id) as place from ({targets(q)}) t"
 Q["l4_argbest"] = lambda q: f"select scene_id, {q.argmax('detection_id', q.struct('wake_snr', 'detection_id'))} as strongest from contacts group by scene_id"
