@@ -4,7 +4,8 @@ import math
 import random
 
 from harborlight.operators.matching import greedy_match, mutual_best_match, survivors
-from harborlight.operators.near import cell_join
+from harborlight.operators.near import cell_join, nearest
+from harborlight.plans import registry
 
 
 def _nm(a, b):
@@ -41,3 +42,55 @@ def test_survivors(spark):
     got = survivors(spark.range(40), spark.createDataFrame(over, "src long, dst long"), "id")
     assert sorted(r.id for r in got.collect()) == want
     assert survivors(spark.range(0), spark.createDataFrame([], "src long, dst long"), "id").count() == 0
+
+
+def test_nearest_against_all_pairs(spark):
+    """Many tiles, a dense cluster, equal positions, the poles and the date line, far rows, rows without a position or any neighbour."""
+    rng = random.Random(11)
+    spots = [(rng.uniform(-1, 1), rng.choice([179.99, -179.99]) + rng.uniform(-1, 1)) for _ in range(900)] + [(5 + rng.gauss(0, 1e-5), 5 + rng.gauss(0, 1e-5)) for _ in range(900)]
+    spots += [(90 - rng.random(), rng.uniform(-180, 180)) for _ in range(300)] + [(-40 + 0.25 * (i // 20), 0.25 * (i % 20)) for i in range(400)]
+    right = [("a", f"c{i:05}", *p) for i, p in enumerate(rng.sample(spots, len(spots)) + spots[:700])] + [("b", f"d{i}", i * 0.5, -i * 0.5) for i in range(5)] + [("z", "e", 0.0, 0.0)]
+    ends = [(rng.uniform(-2, 2), rng.uniform(178, 182)) for _ in range(60)] + [(5 + rng.gauss(0, 1e-5), 5.0) for _ in range(60)] + [(89.9, rng.uniform(-180, 180)) for _ in range(30)]
+    ends += [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(-39.875, 0.375), (-40.0, 0.25), (None, 1.0), (1.0, float("nan")), spots[3]]
+    left = [(g, i, *p) for i, p in enumerate(ends) for g in "abn"]
+    want = {}
+    for g, k, lat, lon in left:
+        near = [(0.0 if lat is None or lon != lon else _nm((x, y), (lat, lon)), r) for h, r, x, y in right if h == g]
+        if near:
+            want[g, k] = sorted(near)[0]
+    got = {(r.group, r.key): r.id for r in nearest(spark.createDataFrame(left, "group string, key long, latitude double, longitude double"), spark.createDataFrame(right, "group string, id string, latitude double, longitude double")).collect()}
+    at = {r: (x, y) for _, r, x, y in right}
+    ends_at = {(g, k): (lat, lon) for g, k, lat, lon in left}
+    assert got.keys() == want.keys()
+    # the libraries' sines may differ in the last bit, so another row may stand only where it is as near to 1e-12 of a mile
+    wrong = [(k, got[k], want[k]) for k in got if got[k] != want[k][1] and (None in ends_at[k] or not abs(_nm(at[got[k]], ends_at[k]) - want[k][0]) < 1e-12)]
+    assert wrong == [] and sum(got[k] != want[k][1] for k in got) < 5
+
+
+def test_nearest_of_nothing(spark):
+    left, right = "group string, key long, latitude double, longitude double", "group string, id string, latitude double, longitude double"
+    one = spark.createDataFrame([("a", 1, 0.0, 0.0)], left)
+    assert nearest(one, spark.createDataFrame([], right)).count() == 0
+    assert nearest(one.limit(0), spark.createDataFrame([("a", "x", 0.0, 0.0)], right)).count() == 0
+
+
+def test_nearest_contact_makes_no_pairs_of_a_scene(spark):
+    """No step of j18 puts out more rows than the events it reads."""
+    df = registry.QUERIES["j18_nearest_contact"](spark, "/root/testdata/sf0.1")
+    assert len(df.collect()) == 1500
+    rows = []
+
+    def walk(node):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            rows.append(found.get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert 1500 <= max(rows) <= 100_000
