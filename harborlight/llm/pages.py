@@ -5,7 +5,8 @@ host with the same occurrence vector (how often each different page has them) fo
 sum of hashes over pages, so classes come out of one aggregation however many pages a host has. A text is the template's if an
 element around it is of its class, as each of these elements then holds the text: the root for texts of every page, an optional or
 repeated element for classes nested in it. What remains is the page's own. Elements that say they are an article, or that they are
-not (menus, forms, advertisements), are taken at their word, as menus and advertisements differ from page to page.
+not (menus, forms, advertisements), are taken at their word, as menus and advertisements differ from page to page. Within an article
+a text is the template's only if it fills a plain container that stands, with this text, once in every article of the host.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
 _OUTSIDE = frozenset("head nav footer aside form script style noscript template iframe button select input textarea svg canvas object menu dialog title".split())
 _ROLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
+#: Plain containers: text right in one, unlike that of headings, paragraphs, lists and tables, is not yet prose by its markup.
+_PLAIN = frozenset(("div", "section"))
+#: What tokens of articles begin with; alone, it stands for the article of a page.
+_OWN = "\1"
 #: So many different pages of a host have to agree before a text counts as the template's.
 SUPPORT = 3
 #: Pages of one host are dealt to tasks in lots of at most one in this many of all pages.
@@ -38,9 +43,9 @@ SHARES = 1000
 
 
 class Node:
-    """An open element: its name, whether it is outside any article, and whether it is one."""
+    """An open element: its name, whether it is outside any article, whether it is one, and the innermost block element at it."""
 
-    __slots__ = ("name", "outside", "article", "path")
+    __slots__ = ("name", "outside", "article", "path", "block")
 
     def __init__(self, name: str, attributes: str, above: "Node | None") -> None:
         words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
@@ -49,6 +54,7 @@ class Node:
         self.outside = own or bool(above and above.outside)
         self.name = name
         self.path = f"{above.path if above else ''}/{name}" + (f".{words}" if words else "")
+        self.block = self if name in _BLOCK or not above else above.block
 
 
 def events(page: str) -> Iterator[tuple[str, str, Node | None]]:
@@ -89,15 +95,55 @@ def events(page: str) -> Iterator[tuple[str, str, Node | None]]:
             stack.append(node)
 
 
+def squeezed(text: str) -> str:
+    return _SPACE.sub(" ", html.unescape(text)).strip()
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
 def text_token(text: str, node: Node | None) -> str:
-    words = _SPACE.sub(" ", html.unescape(text)).strip()
-    return f"{node.path if node else ''}\0{hashlib.blake2b(words.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+    return f"{node.path if node else ''}\0{digest(squeezed(text)).hex()}"
+
+
+def own_token(block: str, box: Node | None) -> str | None:
+    """The token of an article's block of text, if a plain container in the article holds it."""
+    return f"{_OWN}{box.path}\0{digest(block).hex()}" if box and box.name in _PLAIN and box.article else None
 
 
-def tokens(page: str) -> dict[str, int]:
-    """How often the page has each element and text about which the markup is silent, next to "" for its root."""
+def tokens(page: str) -> tuple[dict[str, int], dict[str, int], int]:
+    """How often the page has each element and text about which the markup is silent, next to "" for its root.
+
+    Then the same of the plain containers in its article and of the blocks of text right in them, next to _OWN for the article, and a
+    hash of the article's text; nothing and 0 if it has none.
+    """
     count: dict[str, int] = {"": 1}
+    own: dict[str, int] = {}
+    whole: list[str] = []
+    block: list[str] = []
+    box: Node | None = None
+
+    def close_block() -> None:
+        text = squeezed("".join(block)) if block else ""
+        block.clear()
+        if text:
+            whole.append(text)
+            if token := own_token(text, box):
+                own[token] = own.get(token, 0) + 1
+
     for kind, value, node in events(page):
+        if kind != "text":
+            if node.name in _BLOCK:
+                close_block()
+            if kind == "open" and node.article and not node.outside and node.name in _PLAIN:
+                own[_OWN + node.path] = own.get(_OWN + node.path, 0) + 1
+        elif node is None or not node.outside:
+            if node is not None and node.article:
+                block.append(value)
+                box = node.block
+            else:
+                close_block()
         if kind == "close" or node is not None and (node.outside or node.article):
             continue
         if kind == "text":
@@ -105,7 +151,8 @@ def tokens(page: str) -> dict[str, int]:
                 continue
             value = text_token(value, node)
         count[value] = count.get(value, 0) + 1
-    return count
+    close_block()
+    return (count, own | {_OWN: 1}, int.from_bytes(digest("\n".join(whole)), "little", signed=True)) if whole else (count, {}, 0)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -115,31 +162,41 @@ def templates(pages: DataFrame) -> DataFrame:
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [])
         for host, key, page in zip(b.column("host").to_pylist(), b.column("page_key").to_pylist(), b.column("html").to_pylist()):
-            for token, n in tokens(page).items() if page else ():
-                for x, v in zip(out, (host, key, token, n)):
-                    x.append(v)
+            count, own, article_key = tokens(page) if page else ({}, {}, 0)
+            for k, found in ((key, count), (article_key, own)):
+                for token, n in found.items():
+                    for x, v in zip(out, (host, k, token, n)):
+                        x.append(v)
         return pa.RecordBatch.from_pydict({"host": pa.array(out[0], pa.string()), "page_key": pa.array(out[1], pa.int64()), "token": pa.array(out[2], pa.string()), "n": pa.array(out[3], pa.int32())})
 
     seen = map_batches(pages.select("host", F.xxhash64("html").alias("page_key"), "html"), read, "host string, page_key long, token string, n int")
-    # copies of a page count once: they show nothing about what its text is
+    # copies of a page, or of an article, count once: they show nothing about what its text is
     once = seen.select("host", "token", F.xxhash64("page_key", "n").cast("decimal(38,0)").alias("h")).distinct()
     vectors = once.groupBy("host", "token").agg(F.sum("h").alias("vector"), F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT)
     classes = vectors.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"))
     inside = lambda t: F.exists(F.filter("tokens", lambda e: ~F.contains(e, F.lit("\0"))), lambda e: F.startswith(t, F.concat(e, F.lit("/"))) | F.startswith(t, F.concat(e, F.lit("\0"))))
-    texts = classes.select("host", F.explode(F.filter("tokens", lambda t: F.contains(t, F.lit("\0")) & inside(t))).alias("token"))
+    filled = lambda t: F.array_contains("tokens", F.lit(_OWN)) & F.exists("tokens", lambda e: e == F.substring_index(t, "\0", 1))
+    texts = classes.select("host", F.explode(F.filter("tokens", lambda t: F.contains(t, F.lit("\0")) & F.when(F.startswith(t, F.lit(_OWN)), filled(t)).otherwise(inside(t)))).alias("token"))
     return texts.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("texts"))
 
 
 def article(page: str, template: frozenset[str]) -> str:
-    """The text of the article or main elements; a page with none in them takes what is neither outside nor of the template."""
+    """The text of the article or main elements; a page with none in them takes what is neither outside nor of the template.
+
+    Blocks of the article that are the template's go too, unless it has no others.
+    """
     blocks: dict[bool, list[str]] = {True: [], False: []}
+    fixed: list[bool] = []
     block: list[str] = []
     own = False
+    box: Node | None = None
 
     def close_block() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(block))).strip()
+        text = squeezed("".join(block)) if block else ""
         if text:
             blocks[own].append(text)
+            if own:
+                fixed.append(bool(template) and own_token(text, box) in template)
         block.clear()
 
     for kind, value, node in events(page):
@@ -151,9 +208,10 @@ def article(page: str, template: frozenset[str]) -> str:
             if inside != own:
                 close_block()
                 own = inside
+            box = node.block if node is not None else None
             block.append(" " if template and not own and text_token(value, node) in template else value)
     close_block()
-    return "\n".join(blocks[True] or blocks[False])
+    return "\n".join([t for t, f in zip(blocks[True], fixed) if not f] or blocks[True] or blocks[False])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -218,6 +218,23 @@ def test_pages_without_an_article(spark):
     assert got == want | {20: "Below an empty main", 21: "bare", 22: "Sitex"} | {30 + i: f"One bold word\n{i}" for i in range(4)}
 
 
+def test_pages_with_a_template_in_the_article(spark):
+    """Fixed containers of a host's articles go; prose, parts that vary, optional parts and all that stands in copies alone stay."""
+    page = '<nav>Menu {0}</nav><main><div class="top">Our <b>site</b></div><h1>News</h1><div class="by">By {1}</div><div class="text"><p>Same start</p>Own words {1}{2}</div><section>Get our app</section></main>'
+    rows = [(i, "http://a/", page.format(i, i, "<div class='q'>Quoted</div>" if i < 3 else "")) for i in range(5)]
+    rows += [(10 + i, "http://b/", page.format(i, 7, "")) for i in range(5)]  # copies of one article below different menus
+    rows += [(20 + i, "http://c/", page.format(i, i, "")) for i in range(2)]  # too few
+    rows += [(30 + i, "http://d/", f"<article><div>Alike</div></article><p>{i}</p>") for i in range(4)] + [(40 + i, "http://e/", f"<article><div>One</div><div>{i}</div></article>") for i in range(4)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(d).collect()}
+    text = lambda i, quoted="": f"News\nBy {i}\nSame start\nOwn words {i}{quoted}"
+    want = {i: text(i, "\nQuoted" if i < 3 else "") for i in range(5)}
+    want |= {k: f"Our site\n{text(i)}\nGet our app" for k, i in [(10 + i, 7) for i in range(5)] + [(20, 0), (21, 1)]}
+    assert got == want | {30 + i: "Alike" for i in range(4)} | {40 + i: f"One\n{i}" for i in range(4)}
+    # the stage decides: without its tokens the fixed parts stay
+    assert pages.article(rows[4][2], frozenset()) == f"Our site\n{text(4)}\nGet our app"
+
+
 def test_training_reads_whole_texts(spark):
     rng = random.Random(6)
     words = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
